@@ -50,6 +50,24 @@ def gram_keys(text: str | None) -> np.ndarray:
     return np.concatenate([marked[marked != _SEPARATOR], two, three])
 
 
+def summed(parts, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of many texts and their counts, holding about ``most`` keys at a time."""
+    grams, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    held: list[np.ndarray] = []
+
+    def fold():
+        own, n = np.unique(np.concatenate(held), return_counts=True)
+        every, at = np.unique(np.concatenate([grams, own]), return_inverse=True)
+        return every, np.bincount(at, np.concatenate([counts, n]), len(every)).astype(np.int64)
+
+    for keys in parts:
+        held.append(keys)
+        if sum(map(len, held)) >= most:
+            grams, counts = fold()
+            held = []
+    return fold() if held else (grams, counts)
+
+
 def top_grams(keys: np.ndarray, size: int) -> np.ndarray:
     """The most frequent n-grams in order, the smaller key first in a tie."""
     grams, counts = np.unique(keys, return_counts=True)
@@ -73,8 +91,7 @@ def fit_profiles(labelled: DataFrame, *, size: int = 300, fit_rows: int = 5000)
         for b in batches:
             langs, texts = b.column(0).to_pylist(), b.column(1)
             for lang in sorted(set(langs)):
-                parts = [gram_keys(t.as_py()) for t, x in zip(texts, langs, strict=True) if x == lang]
-                grams, counts = np.unique(np.concatenate(parts), return_counts=True)
+                grams, counts = summed(gram_keys(t.as_py()) for t, x in zip(texts, langs, strict=True) if x == lang)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
     counts = chosen.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
