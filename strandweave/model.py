@@ -106,7 +106,7 @@ class PropertyGraph:
 
     def induce(self, ids: DataFrame) -> PropertyGraph:
         """The entities in ``ids (id)`` and the relationships between them."""
-        kept = self.entities.join(ids.select("id").distinct(), "id", "left_semi").select(*ENTITY_COLUMNS)
+        kept = among(self.entities, ids.select("id").distinct(), "id")
         return self.derive(kept, edges_between(self.relationships, kept))
 
     def filter_entities(self, condition: Column) -> PropertyGraph:
@@ -362,12 +362,25 @@ class PropertyGraph:
         return presentation.view(self, entity_id)
 
 
+def among(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is in ``ids``, one column of distinct values.
+
+    An inner join: the optimiser would push a semi join into each branch of a union below
+    it and copy the plan of the ids there.
+    """
+    return df.join(ids.toDF(key), key).select(*df.columns)
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is not in ``ids``, one column of distinct values."""
+    marked = ids.toDF(key).withColumn("_hit", F.lit(True))
+    return df.join(marked, key, "left").where("_hit IS NULL").select(*df.columns)
+
+
 def edges_between(relationships: DataFrame, entities: DataFrame) -> DataFrame:
     """Relationships with both ends among the entities."""
     ids = entities.select("id")
-    return (
-        relationships.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*EDGE_COLUMNS)
-    )
+    return among(among(relationships, ids, "src"), ids, "dst").select(*EDGE_COLUMNS)
 
 
 def has_data() -> Column:
@@ -377,11 +390,9 @@ def has_data() -> Column:
 
 def checked(entities: DataFrame, relationships: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Relationships with both ends known, and those that are dropped for a missing end."""
-    kept = edges_between(relationships, entities)
     ids = entities.select("id")
-    lost = relationships.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").unionByName(
-        relationships.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
-    )
+    kept = edges_between(relationships, entities)
+    lost = without(relationships, ids, "src").unionByName(without(among(relationships, ids, "src"), ids, "dst"))
     return kept, lost.select(*EDGE_COLUMNS)
 
 

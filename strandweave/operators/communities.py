@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.model import PropertyGraph
+from strandweave.model import PropertyGraph, among
 from strandweave.plans.numbering import numbered
 from strandweave.plans.workspace import Workspace
 
@@ -47,7 +47,7 @@ def communities(g: PropertyGraph, resolution: float = 1.0, seed: int | None = No
     work = Workspace(g.entities.sparkSession, "communities")
     seed = 0 if seed is None else seed
     known = g.entities.select("id")
-    simple = g.neighbours().join(known, "id", "left_semi").join(known.toDF("nbr"), "nbr", "left_semi")
+    simple = among(among(g.neighbours(), known, "id"), known, "nbr")
     edges = work.save(simple.select(F.col("id").alias("a"), F.col("nbr").alias("b"), F.when(F.col("id") == F.col("nbr"), 2.0).otherwise(1.0).alias("w")), "edges")
     label = work.save(known.select("id", F.col("id").alias("c")), "label")
     m2 = edges.agg(F.sum("w")).first()[0]

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import temporal
 from strandweave.functions import variants as V
-from strandweave.model import ENTITY_COLUMNS, EDGE_COLUMNS, PropertyGraph, edges_between
+from strandweave.model import EDGE_COLUMNS, ENTITY_COLUMNS, PropertyGraph, among, edges_between, without
+from strandweave.plans.workspace import Workspace
 
 
 def _names(value) -> list[str] | None:
@@ -47,7 +48,7 @@ def select(g: PropertyGraph, *, entity_types=None, relationship_types=None, time
     if (names := _names(relationship_types)) is not None:
         for n in names:
             g.relationship_types.validate(n)
-        kept = kept.join(endpoints(g.relationships.where(F.col("type").isin(names))), "id", "left_semi")
+        kept = among(kept, endpoints(g.relationships.where(F.col("type").isin(names))), "id")
         column_only = False
     kept = kept.select(*ENTITY_COLUMNS)
     unchanged = column_only and kept is g.entities
@@ -85,7 +86,7 @@ def drop(g: PropertyGraph, values, property: str | None = None) -> PropertyGraph
 
 def subtract(g: PropertyGraph, other: PropertyGraph) -> PropertyGraph:
     """Without the other graph's entities, by id."""
-    kept = g.entities.join(other.entities.select("id"), "id", "left_anti").select(*ENTITY_COLUMNS)
+    kept = without(g.entities, other.entities.select("id"), "id")
     return g.derive(kept, edges_between(g.relationships, kept))
 
 
@@ -135,11 +136,14 @@ def expand(g: PropertyGraph, depth: int = 1, entity_types=None, via=None) -> Pro
     allowed = root.entities.select("id", "types")
     if entity_types is not None:
         allowed = allowed.where(_any_type(_names(entity_types)))
-    reachable = pairs.join(allowed.select(F.col("id").alias("nbr")), "nbr", "left_semi")
+    reachable = among(pairs, allowed.select("id"), "nbr") if entity_types is not None else among(pairs, root.entities.select("id"), "nbr")
     kept = g.entities.select("id")
+    work = Workspace(kept.sparkSession, "expand") if depth > 1 else None
     for _ in range(depth):
-        kept = kept.unionAll(reachable.join(kept, "id", "left_semi").select(F.col("nbr").alias("id"))).distinct()
-    entities = root.entities.join(kept, "id", "left_semi").select(*ENTITY_COLUMNS)
+        kept = kept.unionAll(among(reachable, kept, "id").select(F.col("nbr").alias("id"))).distinct()
+        # each step reads the one before twice: more steps would double the plan each
+        kept = work.save(kept, "kept") if work else kept
+    entities = among(root.entities, kept, "id")
     return g.derive(entities, edges_between(root.relationships, entities))
 
 
@@ -154,5 +158,5 @@ def pattern(g: PropertyGraph, from_type=None, via=None, to_type=None) -> Propert
         edges = edges.where(F.col("type").isin(_names(via)))
     for end, name in (("src", from_type), ("dst", to_type)):
         known = g.entities if name is None else g.entities.where(F.array_contains("types", name))
-        edges = edges.join(known.select(F.col("id").alias(end)), end, "left_semi")
+        edges = among(edges, known.select("id"), end)
     return g.induce(endpoints(edges.select(*EDGE_COLUMNS)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions import variants as V
-from strandweave.model import EDGE_COLUMNS, ENTITY_COLUMNS, PropertyGraph, edges_between, note, primary_type, props, shown_type
+from strandweave.model import EDGE_COLUMNS, ENTITY_COLUMNS, PropertyGraph, among, edges_between, note, primary_type, props, shown_type, without
 from strandweave.plans.workspace import Workspace
 
 
@@ -79,7 +79,7 @@ def peel(g: PropertyGraph, k: int) -> tuple[DataFrame, DataFrame]:
     """
     work = Workspace(g.entities.sparkSession, "kcore")
     ids = g.entities.select("id")
-    pairs = work.save(g.neighbours().join(ids, "id", "left_semi").join(ids.toDF("nbr"), "nbr", "left_semi").select("id", "nbr"), "pairs")
+    pairs = work.save(among(among(g.neighbours(), ids, "id"), ids, "nbr"), "pairs")
     left, n = pairs, None
     while True:
         strong = left.groupBy("id").agg(F.count("*").alias("degree")).where(F.col("degree") >= k).select("id")
@@ -87,7 +87,7 @@ def peel(g: PropertyGraph, k: int) -> tuple[DataFrame, DataFrame]:
         m = strong.count()
         if m == n or m == 0:
             return strong, pairs
-        left = work.save(left.join(strong, "id", "left_semi").join(strong.toDF("nbr"), "nbr", "left_semi").select("id", "nbr"), "left")
+        left = work.save(among(among(left, strong, "id"), strong, "nbr"), "left")
         n = m
 
 
@@ -104,8 +104,8 @@ def simplify(g: PropertyGraph, min_connections: int | None = None) -> PropertyGr
         note(f"with {k} connections simplify would change nothing or leave nothing; the graph stays as it is")
         return g
     kinds = g.entities.select(F.col("id").alias("nbr"), primary_type(F.col("types")).alias("t"))
-    lost = pairs.join(core, "id", "left_semi").join(core.toDF("nbr"), "nbr", "left_anti").join(kinds, "nbr").groupBy("id", "t").agg(F.count("*").alias("n"))
+    lost = without(among(pairs, core, "id"), core, "nbr").join(kinds, "nbr").groupBy("id", "t").agg(F.count("*").alias("n"))
     lost = lost.groupBy("id").agg(F.to_variant_object(F.map_from_entries(F.sort_array(F.collect_list(F.struct("t", "n"))))).alias("lost"))
     marked = F.when(F.col("lost").isNull(), F.col("props")).otherwise(F.map_concat(F.map_filter("props", lambda key, _: key != "simplified"), F.create_map(F.lit("simplified"), F.col("lost"))))
-    entities = g.entities.join(core, "id", "left_semi").join(lost, "id", "left").select("id", "ord", "types", marked.alias("props"), "source")
+    entities = among(g.entities, core, "id").join(lost, "id", "left").select("id", "ord", "types", marked.alias("props"), "source")
     return g.derive(entities, edges_between(g.relationships, core), simplification_k=k)

@@ -274,7 +274,7 @@ def match(g: PropertyGraph, paths) -> DataFrame:
             raise CypherError(f"the path from ({first.var}) shares no node with the paths before it")
         elif first.labels or first.props:
             again = _bind(g, first).select(_column(f"{first.var}.id").alias("_again"))
-            rows = rows.join(again, _column(f"{first.var}.id") == F.col("_again"), "left_semi")
+            rows = rows.join(again, _column(f"{first.var}.id") == F.col("_again")).drop("_again")
         at = first
         for edge, node in zip(edges, nodes[1:], strict=True):
             e = g.relationships

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import temporal
 from strandweave.functions import variants as V
-from strandweave.model import PropertyGraph, props
+from strandweave.model import PropertyGraph, among, props
 from strandweave.operators import analytics, annotate, communities, presentation, search, semantic, text, transforms
 from strandweave.sinks import exports
 from strandweave.sources import jsonld, rdf
-from strandweave.sources.star import documents, star
+
+from strandweave.sources.star import documents, scan, star
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -68,7 +69,7 @@ def graph_rows(g: PropertyGraph) -> DataFrame:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return scan(spark, f"{sf_dir}/{name}.parquet")
 
 
 # -- filters ---------------------------------------------------------------------
@@ -241,7 +242,7 @@ def _(spark, d):
 @query("has_related", "SELECT 'c' || c_custkey AS id, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') AS urgent, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') AS n FROM customer")
 def _(spark, d):
     g = star(spark, d, ("Customer", "Order"), ("placedBy",))
-    urgent = PropertyGraph(g.entities, g.relationships.join(g.entities.where(V.equals(F.col("props")["priority"], "1-URGENT")).select(F.col("id").alias("src")), "src", "left_semi"))
+    urgent = PropertyGraph(g.entities, among(g.relationships, g.entities.where(V.equals(F.col("props")["priority"], "1-URGENT")).select("id"), "src"))
     made = urgent.annotate_entities(urgent=lambda e: e.has("placedBy", "in"), n=lambda e: e.related("placedBy", "in").count())
     p = F.col("props")
     return made.entities.where("startswith(id, 'c')").select("id", F.try_variant_get(p["urgent"], "$", "boolean").alias("urgent"), F.try_variant_get(p["n"], "$", "bigint").alias("n"))
@@ -321,8 +322,8 @@ def sparse(spark: SparkSession, d: str) -> PropertyGraph:
 
 
 _COMPONENTS = f"""WITH RECURSIVE {_SPARSE},
-walk(id, at) AS (SELECT id, id FROM n UNION SELECT w.id, n.nbr FROM walk w JOIN n ON w.at = n.id),
-c AS (SELECT id, min(at) AS component FROM walk GROUP BY id),
+walk(id, node) AS (SELECT id, id FROM n UNION SELECT w.id, n.nbr FROM walk w JOIN n ON w.node = n.id),
+c AS (SELECT id, min(node) AS component FROM walk GROUP BY id),
 every AS (SELECT e.id, coalesce(component, e.id) AS component FROM e LEFT JOIN c ON e.id = c.id)
 """
 

@@ -18,12 +18,22 @@ EDGES = ("placedBy", "contains", "suppliedBy", "inNation", "inRegion")
 _BASE = 1 << 48
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """A table's scan; its schema is taken from the files once."""
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def _id(prefix: str, column: str):
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
 
 def entities(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ENTITIES) -> DataFrame:
-    read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    read = lambda n: scan(spark, f"{sf_dir}/{n}.parquet")
     col = F.col
 
     def rows(i: int, df: DataFrame, prefix: str, key: str, types, columns: dict) -> DataFrame:
@@ -48,7 +58,7 @@ def entities(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = ENTITIES
 
 
 def relationships(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = EDGES) -> DataFrame:
-    read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    read = lambda n: scan(spark, f"{sf_dir}/{n}.parquet")
     col = F.col
     inline = F.lit(None).cast("string")
 
