@@ -50,7 +50,7 @@ def _types(v: Column) -> tuple[Column, Column]:
     """Cleaned type names, and whether the item is a relationship of its own."""
     raw = F.coalesce(F.try_variant_get(v, "$", "array<string>"), F.array(F.try_variant_get(v, "$", "string")))
     raw = F.filter(raw, lambda t: t.isNotNull())
-    clean = F.filter(F.transform(raw, F.trim), lambda t: t != "")
+    clean = F.filter(F.transform(raw, lambda t: F.trim(t)), lambda t: t != "")
     several = F.when(F.size(clean) > 1, F.filter(clean, lambda t: t != "Relationship")).otherwise(clean)
     return F.when(F.size(several) > 0, several).otherwise(F.array(F.lit("Unknown"))), F.array_contains(raw, "Relationship")
 
