@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from strandweave.llm.workers import bounded_batches, tidied
 
 BITS = 64
 
@@ -79,7 +80,7 @@ def with_next(docs: DataFrame, per_pair, schema: pa.Schema, fields: str) -> Data
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), z.cast(pa.int32()).take(take), d.take(take), h.take(take), bucket, ahead], names=["doc_id", "text", "z", "d", "h", "bucket", "ahead"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = _ordered(docs).mapInArrow(deal, f"doc_id {kind}, text string, z int, d bigint, h bigint, bucket int, ahead int")
+    dealt = _ordered(docs).mapInArrow(tidied(deal), f"doc_id {kind}, text string, z int, d bigint, h bigint, bucket int, ahead int")
     placed = dealt.repartition("bucket").sortWithinPartitions("bucket", "ahead", "z", "d", "h").select("doc_id", "text", "bucket", "ahead")
 
     def pair(batches):
@@ -93,7 +94,7 @@ def with_next(docs: DataFrame, per_pair, schema: pa.Schema, fields: str) -> Data
                 last = None if ahead else now
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return placed.mapInArrow(pair, fields)
+    return placed.mapInArrow(tidied(pair), fields)
 
 
 def edit(text: str, following: str) -> str:
@@ -104,6 +105,7 @@ def edit(text: str, following: str) -> str:
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of each document and its edited text, and their likeness to each other and to the next document's."""
+    bounded_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
     memo: dict[str, int] = {}
 

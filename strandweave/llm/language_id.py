@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from strandweave.llm.workers import bounded_batches, tidied
 
 UNKNOWN = "und"
 _SEPARATOR = 1
@@ -94,7 +95,7 @@ def fit_profiles(labelled: DataFrame, *, size: int = 300, fit_rows: int = 5000)
                 grams, counts = summed(gram_keys(t.as_py()) for t, x in zip(texts, langs, strict=True) if x == lang)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
-    counts = chosen.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = chosen.mapInArrow(tidied(count), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= size)
     profiles: dict[str, list[int]] = {}
     for r in sorted(best.select("lang", "place", "gram").collect()):
@@ -128,6 +129,7 @@ class Ranker:
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], *, size: int = 300, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (``doc_id`` by default), ``lang_pred`` and ``score`` for each row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     kept = ["doc_id"] if keep is None else keep
     rows = docs.select(*kept, F.col("text").alias("_text"))
 
@@ -138,7 +140,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], *, size: int = 300,
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*kept, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(tidied(run), f"{fields}, lang_pred string, score double")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from strandweave.llm.workers import bounded_batches, tidied
 
 #: Entries of the per-process memo from a chunk of text to its tokens.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 #: Characters tokenised at a time within one very long text.
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
@@ -145,6 +146,7 @@ def pack(docs: DataFrame, *, ranks_path: str, pattern: str, window: int = 2048,
     number of its document's ids before it, ``doc_tokens`` the document's ids with the end
     id, ``sequence_id`` and ``offset`` the place.  Offsets in a sequence have no gap.
     """
+    bounded_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
     end, full = np.array([end_id], "<u4").tobytes(), 4 * window
 
@@ -170,4 +172,4 @@ def pack(docs: DataFrame, *, ranks_path: str, pattern: str, window: int = 2048,
         if pieces:
             yield placed(pieces, next_id)[0]
 
-    return docs.select("doc_id", "text").mapInArrow(run, FIELDS)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), FIELDS)

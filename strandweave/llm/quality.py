@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from strandweave.llm.language_id import held_out
 from strandweave.plans.workspace import Workspace
+from strandweave.llm.workers import bounded_batches, tidied
 
 _SYMBOL = re.compile(r"[^\w\s.,;:'\"()\-]")
 #: Upper-case letters of the ASCII and Latin-1 ranges.
@@ -80,7 +81,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float64()))], names=["doc_id", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x array<double>")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, x array<double>")
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
@@ -100,7 +101,7 @@ def class_sums(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray
                 sums[k] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array([k for k in sums for _ in sums[k]], pa.int32()), pa.array([i for k in sums for i in range(len(sums[k]))], pa.int32()), pa.array([v for k in sums for v in sums[k]], pa.float64())], names=["k", "i", "v"])
 
-    added = rows.select(F.col("quality").cast("int"), "x").mapInArrow(run, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect()
+    added = rows.select(F.col("quality").cast("int"), "x").mapInArrow(tidied(run), "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect()
     found = {}
     for k in (0, 1):
         v = np.zeros(1 + d + d * d)
@@ -149,6 +150,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7,
 
     ``labels (doc_id, quality)`` are learned from where the id is not held out.
     """
+    bounded_batches(docs.sparkSession)
     work = Workspace(docs.sparkSession, "quality")
     rows = work.save(with_statistics(docs), "statistics")
     known = labels.where("quality IN (0, 1)").where(~held_out()).select("doc_id", "quality")
@@ -160,5 +162,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7,
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(_matrix(b.column(1))))], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"doc_id {kind}, score double")
+    scored = rows.mapInArrow(tidied(run), f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

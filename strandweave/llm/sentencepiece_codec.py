@@ -24,6 +24,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from strandweave.llm.workers import bounded_batches, tidied
 
 SPACE = "▁"
 MEMO_ENTRIES = 300_000
@@ -217,6 +218,8 @@ def codec(path: str) -> Codec:
 def encode(docs: DataFrame, *, model_path: str, check: bool = False) -> DataFrame:
     """``(doc_id, ids)`` of ``docs (doc_id, text)``; with ``check`` also whether decoding gives the text back."""
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches):
         c = codec(model_path)
         for b in batches:
@@ -232,7 +235,7 @@ def encode(docs: DataFrame, *, model_path: str, check: bool = False) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(0), lists] + [pa.array(same, pa.bool_())] * check, names=["doc_id", "ids"] + ["round_trip"] * check)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>" + ", round_trip boolean" * check)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, ids array<int>" + ", round_trip boolean" * check)
 
 
 def decode(rows: DataFrame, *, model_path: str) -> DataFrame:
@@ -245,4 +248,4 @@ def decode(rows: DataFrame, *, model_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return rows.select("doc_id", "ids").mapInArrow(tidied(run), f"doc_id {kind}, text string")

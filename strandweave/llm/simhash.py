@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from strandweave.operators.components import connected_components
 from strandweave.plans.workspace import Workspace
+from strandweave.llm.workers import bounded_batches, tidied
 
 BITS = 64
 RUN_LIMIT = 4096
@@ -109,9 +110,10 @@ def with_prints(docs: DataFrame, keep: list[str], width: int | None, sketches: i
             prints = pa.ListArray.from_arrays(offsets, pa.array(_signed(flat)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], prints], names=[*keep, "prints"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(*keep, "text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{fields}, prints array<bigint>")
+    return rows.mapInArrow(tidied(run), f"{fields}, prints array<bigint>")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -145,7 +147,7 @@ def _entries(nodes: DataFrame, masks: list[int]) -> DataFrame:
                     keys = _mix((prints[:, s] & mask) ^ salt)
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(prints[:, s].copy().view(np.int64)), pa.array(ids)], names=["key", "print", "id"])
 
-    return nodes.select("id", "prints").mapInArrow(run, "key bigint, print bigint, id bigint")
+    return nodes.select("id", "prints").mapInArrow(tidied(run), "key bigint, print bigint, id bigint")
 
 
 def forest(prints: np.ndarray, ids: np.ndarray, radius: int) -> tuple[list, list]:
@@ -248,7 +250,7 @@ def near_links(nodes: DataFrame, radius: int, work: Workspace, *, chain: bool =
     found, linker = [], _run_linker(radius, run_limit, chain)
     while True:
         dealt = entries.repartition(F.col("key")).sortWithinPartitions("key")
-        step = work.save(dealt.mapInArrow(linker, "a bigint, b bigint, over bigint"), "links")
+        step = work.save(dealt.mapInArrow(tidied(linker), "a bigint, b bigint, over bigint"), "links")
         found.append(step.where("over IS NULL").select("a", "b"))
         over = step.where("over IS NOT NULL")
         if over.isEmpty():
@@ -277,7 +279,7 @@ def _covered_again(rows: DataFrame, radius: int, work: Workspace, run_limit: int
                     yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), pa.array(prints[at]), pa.array(ids[at])], names=["key", "print", "id"])
 
     # rows of one bucket are many and join one row: both sides are plain tables, which AQE splits
-    return rows.join(free, "key").select("key", "print", "id", "free").mapInArrow(run, "key bigint, print bigint, id bigint")
+    return rows.join(free, "key").select("key", "print", "id", "free").mapInArrow(tidied(run), "key bigint, print bigint, id bigint")
 
 
 def simhash_components(docs: DataFrame, *, width: int = 3, radius: int = 3, run_limit: int = RUN_LIMIT) -> DataFrame:
@@ -330,7 +332,7 @@ def near_duplicate_classes(docs: DataFrame, *, sketches: int = 6, radius: int =
             keep = np.array([jaccard(p.as_py(), q.as_py(), width) >= similarity for p, q in zip(x, y, strict=True)], bool)
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), c.filter(pa.array(keep))], names=["a", "b"])
 
-    links = both.select("a", "b", "left_text", "right_text").mapInArrow(run, "a bigint, b bigint")
+    links = both.select("a", "b", "left_text", "right_text").mapInArrow(tidied(run), "a bigint, b bigint")
     return connected_components(links, "a", "b").toDF("class", "component")
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.plans.workspace import Workspace
+from strandweave.llm.workers import bounded_batches, tidied
 
 #: A sentence ends behind its mark and white space, or with its line.
 _SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s)[^\n.!?]*)*[.!?]*\s*")
@@ -83,7 +84,7 @@ def repeated_spans(docs: DataFrame, work: Workspace, *, sentences: int = 2, word
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = _document_key(docs.select("doc_id", "text")).where("text IS NOT NULL").select("doc_id", "_hash", "text")
-    spans = work.save(rows.mapInArrow(run, f"doc_id {kind}, hash bigint, first int, count int, h1 bigint, h2 bigint"), "spans")
+    spans = work.save(rows.mapInArrow(tidied(run), f"doc_id {kind}, hash bigint, first int, count int, h1 bigint, h2 bigint"), "spans")
     number = F.coalesce(F.col("doc_id"), F.lit(0))
     place = F.struct(F.col("doc_id").isNull().alias("none"), number.alias("doc_id"), F.col("hash").alias("hash"), F.col("first").alias("first"))
     seen = spans.groupBy("h1", "h2").agg(F.min(place).alias("o"), F.max(place).alias("last")).where("o != last")
@@ -99,6 +100,7 @@ def remove_repeats(docs: DataFrame, *, sentences: int = 2, words: int = 16, long
     ``n_chars``, where there is one, follows the text.  With ``details`` the columns are
     ``doc_id``, ``text``, ``n_sentences``, ``n_removed`` and ``removed_chars`` instead.
     """
+    bounded_batches(docs.sparkSession)
     work = Workspace(docs.sparkSession, "substrings")
     columns = docs.columns
     cut = work.save(repeated_spans(docs, work, sentences=sentences, words=words, long_words=long_words), "cut")
@@ -140,4 +142,4 @@ def remove_repeats(docs: DataFrame, *, sentences: int = 2, words: int = 16, long
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     fields = ", ".join(f"`{f.name}` {'bigint' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, fields + ", n_sentences bigint, n_removed bigint, removed_chars bigint" * details)
+    return rows.mapInArrow(tidied(run), fields + ", n_sentences bigint, n_removed bigint, removed_chars bigint" * details)

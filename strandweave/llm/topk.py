@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.plans.workspace import Workspace
+from strandweave.llm.workers import tidied
 
 #: Rows of a block of data and of a block of queries.
 DATA_BLOCK, QUERY_BLOCK = 4096, 16384
@@ -103,7 +104,7 @@ def top_k(rows: DataFrame, *, k: int = 5, every: int = 50, factor: int = 256, pi
             norm = np.sqrt(np.square(xf).sum(axis=1)) * (1 + 1e-9)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(radius), pa.array(norm)], names=["vec_id", "q", "cell", "radius", "norm"])
 
-    placed = work.save(vectors.select("vec_id", "q").mapInArrow(assign, "vec_id bigint, q array<bigint>, cell int, radius double, norm double"), "cells")
+    placed = work.save(vectors.select("vec_id", "q").mapInArrow(tidied(assign), "vec_id bigint, q array<bigint>, cell int, radius double, norm double"), "cells")
     summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("radius").alias("radius"), F.max("norm").alias("norm")).orderBy("cell").collect()
     cells = np.array([r["cell"] for r in summary], np.int64)
     splits = np.array([-(-r["n"] // data_block) for r in summary], np.int64)
@@ -131,7 +132,7 @@ def top_k(rows: DataFrame, *, k: int = 5, every: int = 50, factor: int = 256, pi
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[piece])), b.column(1).take(pa.array(row[piece])), pa.array(cells[cell[piece]].astype(np.int32)), pa.array(part[piece].astype(np.int32))], names=["vec_id", "q", "cell", "part"])
 
     block = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("block")
-    questions = asked.mapInArrow(replicate, "vec_id bigint, q array<bigint>, cell int, part int").select("vec_id", "q", "cell", "part", block)
+    questions = asked.mapInArrow(tidied(replicate), "vec_id bigint, q array<bigint>, cell int, part int").select("vec_id", "q", "cell", "part", block)
     parts = F.element_at(F.create_map(*[F.lit(int(x)) for pair in zip(cells, splits, strict=True) for x in pair] or [F.lit(0), F.lit(1)]), F.col("cell"))
     data = placed.select("vec_id", "q", "cell", F.pmod(F.xxhash64("vec_id", F.lit(7)), parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("block"))
 

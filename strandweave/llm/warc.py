@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.plans.workspace import Workspace
+from strandweave.llm.workers import bounded_batches, tidied
 
 INDEX = "page_id bigint, file string, offset bigint, length bigint, url string, digest string"
 ROLL_BYTES = 1 << 30
@@ -120,7 +121,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             if sink is not None:
                 sink.close()
 
-    return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, INDEX)
+    return pages.select("page_id", "url", "html", "refers_to").mapInArrow(tidied(run), INDEX)
 
 
 def joined_ranges(places, *, gap: int = GAP, most: int = READ):
@@ -160,11 +161,12 @@ def read_records(index: DataFrame, folder: str, *, payload: bool = True) -> Data
             source.close()
 
     places = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / SEGMENT)).sortWithinPartitions("file", "offset")
-    return places.mapInArrow(run, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * payload)
+    return places.mapInArrow(tidied(run), "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * payload)
 
 
 def archive_and_read(pages: DataFrame, *, least_bytes: int = 0, payload: bool = False) -> DataFrame:
     """Writes a record for each of ``pages (page_id, url, html)`` and reads all of them back."""
+    bounded_batches(pages.sparkSession)
     work = Workspace(pages.sparkSession, "warc")
     folder = f"{work.base}/archives"
     index = work.save(write_archives(with_references(pages, work, least_bytes=least_bytes), folder), "index")
