@@ -127,8 +127,8 @@ class Ranker:
         return self.langs[best], 1.0 - float(total[best]) / (self.size * len(own))
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], *, size: int = 300, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (``doc_id`` by default), ``lang_pred`` and ``score`` for each row of ``docs``."""
+def predict(docs: DataFrame, profiles: dict[str, list[int]], *, size: int = 300, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` (``doc_id`` by default), the language and its score for each row of ``docs``."""
     bounded_batches(docs.sparkSession)
     kept = ["doc_id"] if keep is None else keep
     rows = docs.select(*kept, F.col("text").alias("_text"))
@@ -137,10 +137,10 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], *, size: int = 300,
         rank = Ranker(profiles, size)
         for b in batches:
             found = [rank(t.as_py()) for t in b.column(len(kept))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*kept, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(tidied(run), f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(tidied(run), f"{fields}, `{names[0]}` string, `{names[1]}` double")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -159,5 +159,5 @@ def drop_unidentified(docs: DataFrame, *, size: int = 300, fit_rows: int = 5000,
     """``docs`` without texts in no language known: ``und``, or a score under ``least``."""
     columns = docs.columns
     learn = docs.where(~held_out()).select("doc_id", "text", "lang")
-    found = predict(docs, fit_profiles(learn, size=size, fit_rows=fit_rows), size=size, keep=columns)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*columns)
+    found = predict(docs, fit_profiles(learn, size=size, fit_rows=fit_rows), size=size, keep=columns, names=("_lang_pred", "_score"))
+    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least)).select(*columns)

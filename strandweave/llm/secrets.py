@@ -203,7 +203,7 @@ def _joined(spans: Column) -> Column:
 
 
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (``doc_id`` by default) with ``found``: all spans as structs ``(start, ord, kind, end)``."""
+    """``keep`` (``doc_id`` by default) with ``_found``: all spans as structs ``(start, ord, kind, end)``."""
     kept = ["doc_id"] if keep is None else keep
     queries = [trigram_query(r.pattern) for r in rules]
     grams = sorted(set().union(*map(_grams, queries)))
@@ -223,7 +223,7 @@ def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULE
         passes = F.lit(True) if query is None else _holds(query, F.col("_postings"), bit)
         # a cheap test comes before the places are worked out
         parts.append(F.when(passes & F.col("_text").rlike(rule.pattern), _spans(F.col("_text"), rule, i)).otherwise(none))
-    found = F.array_sort(F.concat(*parts)).alias("found")
+    found = F.array_sort(F.concat(*parts)).alias("_found")
     return rows.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(kept)], found)
 
 
@@ -235,9 +235,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) ->
     """``(doc_id, n_<base kind>..., base_sha256, spans)`` for each row of ``docs``."""
     rows = with_spans(docs, rules)
     base = [r.kind for r in rules if r.base]
-    counts = [F.size(F.filter("found", _of_kind(k))).cast("bigint").alias(f"n_{k}") for k in base]
-    own = F.filter("found", lambda s: s["kind"].isin(base))
-    return rows.select("doc_id", *counts, F.sha2(_joined(own).cast("binary"), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
+    counts = [F.size(F.filter("_found", _of_kind(k))).cast("bigint").alias(f"n_{k}") for k in base]
+    own = F.filter("_found", lambda s: s["kind"].isin(base))
+    return rows.select("doc_id", *counts, F.sha2(_joined(own).cast("binary"), 256).alias("base_sha256"), _joined(F.col("_found")).alias("spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, mark: str = "[secret]") -> DataFrame:
@@ -252,6 +252,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, m
         return F.struct(F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     tail = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    clean = F.when(F.size("found") > 0, F.aggregate("found", start, step, tail)).otherwise(F.col("text"))
-    made = {"text": clean} | ({"n_chars": F.when(F.size("found") > 0, F.length(clean).cast("bigint")).otherwise(F.col("n_chars"))} if "n_chars" in columns else {})
+    clean = F.when(F.size("_found") > 0, F.aggregate("_found", start, step, tail)).otherwise(F.col("text"))
+    rows = rows.withColumn("_clean", clean)
+    made = {"text": F.col("_clean")}
+    if "n_chars" in columns:
+        made["n_chars"] = F.when(F.size("_found") > 0, F.length("_clean").cast("bigint")).otherwise(F.col("n_chars"))
     return rows.select(*[made[c].alias(c) if c in made else F.col(c) for c in columns])

@@ -355,10 +355,10 @@ def drop_near_duplicates(docs: DataFrame, *, sketches: int = 6, radius: int = 3,
     known = work.save(rows.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "known")
     named = work.save(known.join(groups, "class", "left").select("class", "doc_id", F.coalesce("component", "class").alias("component")), "named")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class"))
-    keep = work.save(named.groupBy("component").agg(first.alias("first")).select("first.class", F.col("first.doc_id").alias("keep_id")), "keep")
-    kept = _class_ids(docs).join(keep.withColumnRenamed("class", "_class"), "_class").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    keep = work.save(named.groupBy("component").agg(first.alias("first")).select(F.col("first.class").alias("_class"), F.col("first.doc_id").alias("_keep_id")), "keep")
+    kept = _class_ids(docs).join(keep, "_class").where(F.col("doc_id").eqNullSafe(F.col("_keep_id")))
     # a row that repeats both id and text: rare, so the text moves again only if there is one
-    repeats = rows.groupBy("class", "doc_id").count().where("count > 1").join(keep.withColumnRenamed("keep_id", "doc_id"), ["class"], "left_semi")
+    repeats = rows.groupBy("class", "doc_id").count().where("count > 1").join(keep.select(F.col("_class").alias("class")), "class", "left_semi")
     if not repeats.isEmpty():
         kept = kept.dropDuplicates(["_class"])
     return kept.select(*columns)
