@@ -11,7 +11,9 @@ without False Negatives", SODA 2016).
 Buckets are read as sorted runs, one table row at a time per task, so memory is bounded.
 In a bucket, links are a spanning forest, never all pairs.  A bucket with more than
 ``run_limit`` members is covered again over the bits in which its members still differ,
-which halves those bits each time and keeps the guarantee, until it is small.
+which halves those bits each time and keeps the guarantee, until it is small.  Where links
+are checked on the texts, the members that the radius connects are kept as clusters too, and
+the pairs in them that the checks left in different components are compared.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like any other;
 fewer words than a shingle form one shingle; rows that repeat give the same result each;
@@ -36,6 +38,8 @@ from strandweave.llm.workers import bounded_batches, tidied
 
 BITS = 64
 RUN_LIMIT = 4096
+#: Texts a side that a task compares at a time.
+UNIT = 256
 #: Shingles hashed at a time, which bounds the memory for one very long text.
 BLOCK = 1 << 15
 
@@ -126,28 +130,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _entries(nodes: DataFrame, masks: list[int]) -> DataFrame:
-    """``(key, print, id)`` for each table and node; nodes: ``(id, prints)``.
+    """``(key, print, id)`` for each table and node; nodes: ``(id, print, sketch)``.
 
-    A key hashes the table's number and the masked bits.  Two buckets that share a key
-    only give more candidates, as links are decided on the fingerprints themselves.
+    A key hashes the sketch, the table's number and the masked bits.  Two buckets that share
+    a key only give more candidates, as links are decided on the fingerprints themselves.
     """
     table = np.array(masks, np.uint64)
 
     def run(batches):
         for b in batches:
-            ids, lists = b.column(0), b.column(1)
-            width = len(lists.values) // max(1, len(lists)) if len(lists) else 0
-            if not width:
-                continue
-            prints = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), width)
-            ids = ids.to_numpy(zero_copy_only=False)
-            for s in range(width):
-                for t, mask in enumerate(table):
-                    salt = _mix(np.array([s * len(table) + t + 1], np.uint64))[0]
-                    keys = _mix((prints[:, s] & mask) ^ salt)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(prints[:, s].copy().view(np.int64)), pa.array(ids)], names=["key", "print", "id"])
+            ids, prints, sketch = b.column(0), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64), b.column(2).to_numpy(zero_copy_only=False)
+            for t, mask in enumerate(table):
+                salt = _mix((sketch * len(table) + t + 1).astype(np.uint64))
+                keys = _mix((prints & mask) ^ salt)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(1), ids], names=["key", "print", "id"])
 
-    return nodes.select("id", "prints").mapInArrow(tidied(run), "key bigint, print bigint, id bigint")
+    return nodes.select("id", "print", F.col("sketch").cast("bigint")).mapInArrow(tidied(run), "key bigint, print bigint, id bigint")
 
 
 def forest(prints: np.ndarray, ids: np.ndarray, radius: int) -> tuple[list, list]:
@@ -169,24 +167,26 @@ def forest(prints: np.ndarray, ids: np.ndarray, radius: int) -> tuple[list, list
     return a, b
 
 
-def neighbours_in_order(prints: np.ndarray, ids: np.ndarray, radius: int) -> tuple[list, list]:
-    """Pairs for a later exact check: each member with the first and the previous one within the radius."""
+def neighbours_in_order(prints: np.ndarray, ids: np.ndarray, radius: int) -> tuple[list, list, list]:
+    """Pairs for a first check, each member with the first and the previous one within the radius, and the clusters of members that the radius connects."""
     order = np.argsort(_mix(ids.view(np.uint64)), kind="stable")
     prints, ids = prints[order], ids[order]
     a, b = forest(prints, ids, radius)
+    root: dict[int, int] = {}
+    clusters: dict[int, list[int]] = {}
+    for x, y in zip(a, b, strict=True):  # a tree's edges lead away from its root
+        root[y] = root.setdefault(x, x)
+        clusters.setdefault(root[y], [root[y]]).append(y)
     near = np.bitwise_count(prints[1:] ^ prints[:-1]) <= radius
-    return a + ids[:-1][near].tolist(), b + ids[1:][near].tolist()
+    return a + ids[:-1][near].tolist(), b + ids[1:][near].tolist(), list(clusters.values())
 
 
 def _run_linker(radius: int, run_limit: int, chain: bool):
-    """Reads rows sorted by key; gives links, and the rows of runs that are too long."""
-    pick = neighbours_in_order if chain else forest
+    """Reads rows sorted by key; gives links, the rows of runs that are too long and, with ``chain``, clusters under a hash of their members."""
 
-    def out(a, b, key=None):
-        n = len(a)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64)), pa.array(np.asarray(key, np.int64)) if key is not None else pa.nulls(n, pa.int64())], names=["a", "b", "over"]
-        )
+    def out(a, b, key=None, cluster=None):
+        fill = lambda x: pa.array(np.asarray(x, np.int64)) if x is not None else pa.nulls(len(b), pa.int64())
+        return pa.RecordBatch.from_arrays([fill(a), fill(b), fill(key), fill(cluster)], names=["a", "b", "over", "cluster"])
 
     def run(batches):
         held: list[np.ndarray] = [np.empty(0, np.int64)] * 3
@@ -224,42 +224,59 @@ def _run_linker(radius: int, run_limit: int, chain: bool):
         starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
         sizes = np.diff(np.append(starts, len(keys)))
         two = starts[sizes == 2]
-        near = np.bitwise_count(prints[two] ^ prints[two + 1]) <= radius
-        a, b = ids[two][near].tolist(), ids[two + 1][near].tolist()
+        two = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= radius]
+        a, b = ids[two].tolist(), ids[two + 1].tolist()
+        names, members = [], []
+        if chain and len(two):
+            name = (_mix(ids[two].view(np.uint64)) + _mix(ids[two + 1].view(np.uint64))).view(np.int64).tolist()
+            names, members = name + name, a + b
         for at, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
             if size > run_limit:
                 yield out(cols[1][at : at + size], ids[at : at + size], keys[at : at + size])
                 continue
-            x, y = pick(prints[at : at + size], ids[at : at + size], radius)
+            if chain:
+                x, y, clusters = neighbours_in_order(prints[at : at + size], ids[at : at + size], radius)
+                for c in clusters:
+                    names += [int(_mix(np.array(c, np.int64).view(np.uint64)).sum(dtype=np.uint64).view(np.int64))] * len(c)
+                    members += c
+            else:
+                x, y = forest(prints[at : at + size], ids[at : at + size], radius)
             a += x
             b += y
         if a:
             yield out(a, b)
+        if members:
+            yield out(None, members, None, names)
 
     return run
 
 
-def near_links(nodes: DataFrame, radius: int, work: Workspace, *, chain: bool = False, run_limit: int = RUN_LIMIT) -> DataFrame:
+def near_links(nodes: DataFrame, radius: int, work: Workspace, *, run_limit: int = RUN_LIMIT) -> DataFrame:
     """Links ``(a, b)`` that connect all nodes whose fingerprints differ in ``radius`` bits or fewer.
 
-    nodes: ``(id bigint, prints array<bigint>)`` with distinct ids; sketches at the same
-    place are compared.  With ``chain`` a bucket also gives the pairs next to each other
-    in a fixed shuffled order, for callers that check the pairs and drop some.
+    nodes: ``(id bigint, print bigint, sketch)`` with distinct ids; fingerprints of one
+    sketch are compared.
     """
+    return _buckets(nodes, radius, work, False, run_limit)[0]
+
+
+def _buckets(nodes: DataFrame, radius: int, work: Workspace, chain: bool, run_limit: int) -> tuple[DataFrame, DataFrame]:
+    """Links, and with ``chain`` also clusters ``(cluster, id)`` of which one holds both ends of each pair within the radius."""
     entries = _entries(nodes, covering_masks(radius))
     found, linker = [], _run_linker(radius, run_limit, chain)
     while True:
         dealt = entries.repartition(F.col("key")).sortWithinPartitions("key")
-        step = work.save(dealt.mapInArrow(tidied(linker), "a bigint, b bigint, over bigint"), "links")
-        found.append(step.where("over IS NULL").select("a", "b"))
+        step = work.save(dealt.mapInArrow(tidied(linker), "a bigint, b bigint, over bigint, cluster bigint"), "links")
+        found.append(step.where("over IS NULL"))
         over = step.where("over IS NOT NULL")
         if over.isEmpty():
             break
         entries = _covered_again(over.select(F.col("over").alias("key"), F.col("a").alias("print"), F.col("b").alias("id")), radius, work, run_limit)
-    links = found[0]
+    rows = found[0]
     for more in found[1:]:
-        links = links.unionAll(more)
-    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rows = rows.unionAll(more)
+    links = rows.where("cluster IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return links, rows.where("cluster IS NOT NULL").select("cluster", F.col("b").alias("id")).distinct()
 
 
 def _covered_again(rows: DataFrame, radius: int, work: Workspace, run_limit: int) -> DataFrame:
@@ -291,7 +308,7 @@ def simhash_components(docs: DataFrame, *, width: int = 3, radius: int = 3, run_
     work = Workspace(docs.sparkSession, "simhash")
     prints = work.save(with_prints(docs, ["doc_id"], width, 1).select("doc_id", F.col("prints")[0].alias("print")), "prints")
     classes = work.save(prints.groupBy("print").agg(F.min("doc_id").alias("doc")), "classes")
-    links = near_links(classes.select(F.col("print").alias("id"), F.array("print").alias("prints")), radius, work, run_limit=run_limit)
+    links = near_links(classes.select(F.col("print").alias("id"), "print", F.lit(0).alias("sketch")), radius, work, run_limit=run_limit)
     member = connected_components(links, "a", "b")
     # classes that have links: the smallest doc_id of the whole component
     linked = work.save(classes.join(member.toDF("print", "component"), "print"), "linked")
@@ -313,13 +330,20 @@ def near_duplicate_classes(docs: DataFrame, *, sketches: int = 6, radius: int =
     Candidates are texts of which one of ``sketches`` SimHashes over distinct words lies
     within the radius; a candidate pair is a link if the sets of ``width``-word shingles
     have a Jaccard similarity of ``similarity`` or more, computed on the whole texts.
+    A first check of few pairs a bucket links most; then all candidates whose ends are
+    still in different components are compared.
     Only classes with a link have a row.  Equal texts are one class from the start.
     """
     work = Workspace(docs.sparkSession, "near")
     texts = _class_ids(docs)
     made = with_prints(texts.select("_class", "text"), ["_class"], None, sketches)
     nodes = work.save(made.groupBy(F.col("_class").alias("id")).agg(F.first("prints").alias("prints")), "nodes")
-    pairs = work.save(near_links(nodes, radius, work, chain=True, run_limit=run_limit), "pairs")
+    cells = nodes.select("id", F.posexplode("prints").alias("sketch", "print")).withColumn("group", F.xxhash64("sketch", "id"))
+    groups = work.save(cells.groupBy("group", "sketch", "print").agg(F.min("id").alias("first"), F.count("*").alias("n")), "groups")
+    near, clusters = _buckets(groups.select(F.col("group").alias("id"), "print", "sketch"), radius, work, True, run_limit)
+    first = groups.select("group", "first")
+    across = near.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b")
+    pairs = work.save(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
     ends = work.save(pairs.select(F.col("a").alias("_class")).unionAll(pairs.select(F.col("b").alias("_class"))).distinct(), "ends")
     # only texts that have a candidate are read again, one row for each class
     bodies = work.save(texts.select("_class", "text").join(ends, "_class", "left_semi").groupBy("_class").agg(F.first("text").alias("text")), "bodies")
@@ -332,8 +356,115 @@ def near_duplicate_classes(docs: DataFrame, *, sketches: int = 6, radius: int =
             keep = np.array([jaccard(p.as_py(), q.as_py(), width) >= similarity for p, q in zip(x, y, strict=True)], bool)
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), c.filter(pa.array(keep))], names=["a", "b"])
 
-    links = both.select("a", "b", "left_text", "right_text").mapInArrow(tidied(run), "a bigint, b bigint")
-    return connected_components(links, "a", "b").toDF("class", "component")
+    links = work.save(both.select("a", "b", "left_text", "right_text").mapInArrow(tidied(run), "a bigint, b bigint"), "checked")
+    found = connected_components(links, "a", "b")
+    members = work.save(clusters.withColumnRenamed("id", "group").join(cells.select("group", "id", "print"), "group").select("cluster", "id", "print"), "members")
+    rest = _unsettled(members, found, work)
+    if not rest.where(F.col("size") > UNIT).isEmpty():
+        # each text in its largest cluster first, which settles most of large groups before their other clusters are read
+        largest = rest.groupBy("id").agg(F.max(F.struct("size", "cluster")).alias("m")).select("id", F.col("m.cluster").alias("cluster"))
+        links = links.unionAll(_compared(rest.join(largest, ["id", "cluster"]), bodies, work, radius, width, similarity))
+        found = connected_components(links, "a", "b")
+        rest = _unsettled(members, found, work)
+    if not rest.isEmpty():
+        found = connected_components(links.unionAll(_compared(rest, bodies, work, radius, width, similarity)), "a", "b")
+    return found.toDF("class", "component")
+
+
+def _unsettled(members: DataFrame, components: DataFrame, work: Workspace) -> DataFrame:
+    """``(cluster, id, print, label, size)`` of the clusters of three or more texts that are not all in one component."""
+    known = members.join(components.toDF("id", "component"), "id", "left").select("cluster", "id", "print", F.coalesce("component", "id").alias("label"))
+    known = work.save(known, "labels")
+    size = known.groupBy("cluster").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return work.save(known.join(work.save(size.where("size > 2 AND low != high").select("cluster", "size"), "open"), "cluster"), "rest")
+
+
+def _compared(rest: DataFrame, bodies: DataFrame, work: Workspace, radius: int, width: int, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` that join all similar texts within the radius in a cluster that have different labels.
+
+    A cluster's texts outside its most frequent label are compared with all of the cluster,
+    in units of about ``UNIT`` by ``UNIT`` texts, so no task grows with a cluster.
+    """
+    count = rest.groupBy("cluster", "label").count()
+    plan = count.groupBy("cluster").agg(F.max(F.struct("count", "label")).alias("m"), F.sum("count").alias("n"))
+    plan = work.save(plan.select("cluster", F.col("m.label").alias("main"), F.ceil(F.col("n") / UNIT).alias("across"), F.ceil((F.col("n") - F.col("m.count")) / UNIT).alias("down")).where("down > 0"), "plan")
+    rows = rest.join(plan, "cluster")
+    row = F.pmod(F.xxhash64("id", F.lit(1)), "down")
+    column = F.pmod(F.xxhash64("id"), "across")
+    lefts = rows.where("label != main").withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("across") - 1)))
+    rights = rows.withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("down") - 1)))
+    units = lefts.select(F.xxhash64("cluster", row, "at").alias("unit"), F.lit(True).alias("left"), "id", "print", "label").unionAll(
+        rights.select(F.xxhash64("cluster", "at", column).alias("unit"), F.lit(False).alias("left"), "id", "print", "label")
+    )
+
+    def hashed(batches):
+        for b in batches:
+            sets = [np.unique(_hashes(list(shingles(text_words(t.as_py()), width)), 42)).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+
+    def run(batches):
+        held: list[tuple] = []
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and held[0][0] != r[0]:
+                    yield links_of(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield links_of(held)
+
+    def links_of(rows: list[tuple]) -> pa.RecordBatch:
+        a, b = similar_pairs([r[2:] for r in rows if r[1]], [r[2:] for r in rows if not r[1]], radius, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    named = bodies.toDF("id", "text").join(rest.select("id").distinct(), "id", "left_semi")
+    sets = work.save(named.mapInArrow(tidied(hashed), "id bigint, set binary"), "sets")
+    dealt = units.join(sets, "id").select("unit", "left", "id", "print", "label", "set").repartition(F.col("unit")).sortWithinPartitions("unit")
+    return work.save(dealt.mapInArrow(tidied(run), "a bigint, b bigint"), "compared")
+
+
+def _parities(sets: list[np.ndarray]) -> np.ndarray:
+    """2048 bits a set, each the parity of the hashes that fall there: two sets differ in at least as many hashes as in bits."""
+    flips = [np.bincount((s % np.uint64(2048)).astype(np.int64), minlength=2048).astype(np.uint8) & 1 for s in sets]
+    return np.packbits(np.array(flips, np.uint8).reshape(-1, 2048), axis=1).view(np.uint64)
+
+
+def similar_pairs(lefts: list[tuple], rights: list[tuple], radius: int, similarity: float) -> tuple[list[int], list[int]]:
+    """Links that connect the labels of similar texts; texts: ``(id, print, label, set)``.
+
+    Sets are tested exactly unless their sizes or parities exclude the similarity, or
+    links before have joined their labels.
+    """
+    if not lefts or not rights:
+        return [], []
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    own, sets = [np.frombuffer(t[3], np.uint64) for t in lefts], [np.frombuffer(t[3], np.uint64) for t in rights]
+    bits, own_bits = _parities(sets), _parities(own)
+    prints = np.array([t[1] for t in rights], np.int64).view(np.uint64)
+    labels, sizes = np.array([t[2] for t in rights], np.int64), np.array([len(s) for s in sets])
+    a, b = [], []
+    for (i, p, label, _), x, parity in zip(lefts, own, own_bits, strict=True):
+        near = (labels != label) & (np.bitwise_count(prints ^ np.array([p], np.int64).view(np.uint64)) <= radius)
+        near &= np.minimum(sizes, len(x)) >= (similarity - 1e-9) * np.maximum(sizes, len(x))
+        at = np.flatnonzero(near)
+        apart = np.bitwise_count(bits[at] ^ parity).sum(axis=1, dtype=np.int64)
+        for j in at[apart <= (1 - similarity) / (1 + similarity) * (sizes[at] + len(x)) + 1e-6]:
+            one, other = root(label), root(int(labels[j]))
+            if one == other:
+                continue
+            both = len(np.intersect1d(x, sets[j], assume_unique=True))
+            union = len(x) + len(sets[j]) - both
+            if (both / union if union else 1.0) >= similarity:
+                parent[other] = one
+                a.append(i)
+                b.append(rights[j][0])
+    return a, b
 
 
 def jaccard(x: str | None, y: str | None, width: int) -> float:

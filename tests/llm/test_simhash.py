@@ -141,3 +141,43 @@ def test_similarity_decides(spark):
     assert simhash.jaccard("a b c d e f", "a b c d e f", 5) == 1.0
     assert simhash.jaccard("", None, 5) == 1.0
     assert simhash.jaccard("a", "b", 5) == 0.0
+
+
+def plain_kept(texts, sketches=6, radius=3, width=5, similarity=0.8):
+    """Texts that stay if all candidates are compared."""
+    prints = [simhash.word_prints(t, sketches) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in combinations(range(len(texts)), 2):
+        if any((p ^ q).bit_count() <= radius for p, q in zip(prints[i], prints[j], strict=True)) and simhash.jaccard(texts[i], texts[j], width) >= similarity:
+            a, b = sorted((find(i), find(j)))
+            parent[b] = a
+    return sorted({find(i) for i in range(len(texts))})
+
+
+def star_texts(copies, changed, seed, words=360):
+    """A text and copies that are similar to it but mostly not to each other."""
+    rng = random.Random(seed)
+    base = [rng.choice(VOCABULARY) for _ in range(words)]
+    texts = [" ".join(base)]
+    for c in range(copies):
+        edited = list(base)
+        for i in range(changed):
+            edited[rng.randrange(words)] = f"changed{c}of{i}"
+        texts.append(" ".join(edited))
+    return texts
+
+
+VOCABULARY = [f"longer{i}" for i in range(4000)]
+
+
+def test_all_candidates_are_compared(spark):
+    """Copies that are similar to one text only are found, whichever text the buckets put first."""
+    texts = star_texts(120, 8, 7) + star_texts(40, 9, 8) + star_texts(300, 8, 9)
+    docs = spark.createDataFrame(rows(enumerate(texts)), SCHEMA)
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == plain_kept(texts)
