@@ -11,7 +11,8 @@ without False Negatives", SODA 2016).
 Buckets are read as sorted runs, one table row at a time per task, so memory is bounded.
 In a bucket, links are a spanning forest, never all pairs.  A bucket with more than
 ``run_limit`` members is covered again over the bits in which its members still differ,
-which halves those bits each time and keeps the guarantee, until it is small.  Where links
+which halves those bits each time and keeps the guarantee, until it is small.  Texts of
+equal fingerprints are one member, so that each round parts a bucket.  Where links
 are checked on the texts, the members that the radius connects are kept as clusters too, and
 the pairs in them that the checks left in different components are compared.
 
@@ -184,6 +185,9 @@ def neighbours_in_order(prints: np.ndarray, ids: np.ndarray, radius: int) -> tup
 def _run_linker(radius: int, run_limit: int, chain: bool):
     """Reads rows sorted by key; gives links, the rows of runs that are too long and, with ``chain``, clusters under a hash of their members."""
 
+    #: With fewer bits that differ a mask can be empty and part nothing; they have at most ``1 << fewest - 1`` values.
+    fewest = 1 << radius
+
     def out(a, b, key=None, cluster=None):
         fill = lambda x: pa.array(np.asarray(x, np.int64)) if x is not None else pa.nulls(len(b), pa.int64())
         return pa.RecordBatch.from_arrays([fill(a), fill(b), fill(key), fill(cluster)], names=["a", "b", "over", "cluster"])
@@ -210,7 +214,7 @@ def _run_linker(radius: int, run_limit: int, chain: bool):
             last = int(cut[-1]) if len(cut) else 0
             yield from closed([c[:last] for c in cols])
             held = [c[last:] for c in cols]
-            if len(held[0]) > run_limit:
+            if len(held[0]) > max(run_limit, 1 << fewest - 1):
                 long_key = held[0][0]
                 yield out(held[1], held[2], held[0])
                 held = [c[:0] for c in held]
@@ -231,7 +235,8 @@ def _run_linker(radius: int, run_limit: int, chain: bool):
             name = (_mix(ids[two].view(np.uint64)) + _mix(ids[two + 1].view(np.uint64))).view(np.int64).tolist()
             names, members = name + name, a + b
         for at, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            if size > run_limit:
+            run = prints[at : at + size]
+            if size > run_limit and int(np.bitwise_or.reduce(run) ^ np.bitwise_and.reduce(run)).bit_count() >= fewest:
                 yield out(cols[1][at : at + size], ids[at : at + size], keys[at : at + size])
                 continue
             if chain:
@@ -254,8 +259,8 @@ def _run_linker(radius: int, run_limit: int, chain: bool):
 def near_links(nodes: DataFrame, radius: int, work: Workspace, *, run_limit: int = RUN_LIMIT) -> DataFrame:
     """Links ``(a, b)`` that connect all nodes whose fingerprints differ in ``radius`` bits or fewer.
 
-    nodes: ``(id bigint, print bigint, sketch)`` with distinct ids; fingerprints of one
-    sketch are compared.
+    nodes: ``(id bigint, print bigint, sketch)`` with distinct ids, and distinct prints in
+    a sketch, as equal ones cannot be parted; fingerprints of one sketch are compared.
     """
     return _buckets(nodes, radius, work, False, run_limit)[0]
 
@@ -338,12 +343,15 @@ def near_duplicate_classes(docs: DataFrame, *, sketches: int = 6, radius: int =
     texts = _class_ids(docs)
     made = with_prints(texts.select("_class", "text"), ["_class"], None, sketches)
     nodes = work.save(made.groupBy(F.col("_class").alias("id")).agg(F.first("prints").alias("prints")), "nodes")
-    cells = nodes.select("id", F.posexplode("prints").alias("sketch", "print")).withColumn("group", F.xxhash64("sketch", "id"))
+    cells = nodes.select("id", F.posexplode("prints").alias("sketch", "print")).withColumn("group", F.xxhash64("sketch", "print"))
     groups = work.save(cells.groupBy("group", "sketch", "print").agg(F.min("id").alias("first"), F.count("*").alias("n")), "groups")
     near, clusters = _buckets(groups.select(F.col("group").alias("id"), "print", "sketch"), radius, work, True, run_limit)
     first = groups.select("group", "first")
     across = near.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b")
-    pairs = work.save(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    # equal fingerprints: each text with the first one, and all of them as a cluster
+    equal = cells.join(groups.where("n > 1").select("group", "first"), "group").where("id != first").select(F.col("first").alias("x"), F.col("id").alias("y"))
+    pairs = work.save(across.select("x", "y").unionAll(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    clusters = clusters.unionAll(groups.where("n > 2").select(F.col("group").alias("cluster"), F.col("group").alias("id")))
     ends = work.save(pairs.select(F.col("a").alias("_class")).unionAll(pairs.select(F.col("b").alias("_class"))).distinct(), "ends")
     # only texts that have a candidate are read again, one row for each class
     bodies = work.save(texts.select("_class", "text").join(ends, "_class", "left_semi").groupBy("_class").agg(F.first("text").alias("text")), "bodies")

@@ -181,3 +181,13 @@ def test_all_candidates_are_compared(spark):
     texts = star_texts(120, 8, 7) + star_texts(40, 9, 8) + star_texts(300, 8, 9)
     docs = spark.createDataFrame(rows(enumerate(texts)), SCHEMA)
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == plain_kept(texts)
+
+
+def test_more_equal_prints_than_the_limit(spark):
+    """A group of distinct texts with one fingerprint, which no mask parts, ends and is compared."""
+    words = [f"longer{i}" for i in range(40)]
+    rng = random.Random(11)
+    texts = [" ".join(rng.sample(words, 40)) for _ in range(12)] + [" ".join(words[:20] + [f"b{i}"] + words[20:]) for i in range(12)]
+    assert len({tuple(simhash.word_prints(t, 6)) for t in texts}) == 1
+    docs = spark.createDataFrame(rows(enumerate(texts)), SCHEMA)
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs, run_limit=4, similarity=0.7).collect()) == plain_kept(texts, similarity=0.7)
