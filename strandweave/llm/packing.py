@@ -17,6 +17,7 @@ documents that repeat are packed each; other columns are not read; no rows, no p
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -126,6 +127,29 @@ class ByteBpe:
         return b"".join(map(self.memo.__getitem__, _CHUNK.findall(text)))
 
 
+def added_tokens(json_path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer's JSON file, whose text is one id each wherever it stands."""
+    with open(json_path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in found):
+        raise ValueError("added tokens that take in or depend on the text around them are not supported")
+    return {t["content"]: t["id"] for t in found}
+
+
+def with_specials(encode: Callable[[str], bytes], specials: dict[str, int]) -> Callable[[str], bytes]:
+    """``encode`` for the text between special tokens, and their ids for these."""
+    if not specials:
+        return encode
+    mark = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")")
+    known = {t: np.array([i], "<u4").tobytes() for t, i in specials.items()}
+
+    def run(text: str) -> bytes:
+        parts = mark.split(text)
+        return encode(text) if len(parts) == 1 else b"".join(known[p] if k % 2 else encode(p) for k, p in enumerate(parts))
+
+    return run
+
+
 _TOKENIZERS: dict[tuple[str, str], ByteBpe] = {}
 
 
@@ -139,12 +163,13 @@ def byte_bpe(ranks_path: str, pattern: str) -> ByteBpe:
 FIELDS = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-def pack(docs: DataFrame, *, ranks_path: str, pattern: str, window: int = 2048, end_id: int = 1, pool: int = 8192) -> DataFrame:
+def pack(docs: DataFrame, *, ranks_path: str, pattern: str, window: int = 2048, end_id: int = 1, pool: int = 8192, specials: dict[str, int] | None = None) -> DataFrame:
     """Pieces of ``docs (doc_id, text)`` placed in sequences of at most ``window`` ids.
 
     ``ids`` holds a piece's ids as little-endian unsigned 32-bit numbers; ``start`` is the
     number of its document's ids before it, ``doc_tokens`` the document's ids with the end
     id, ``sequence_id`` and ``offset`` the place.  Offsets in a sequence have no gap.
+    ``specials`` are texts that are one id each; without it all text is ordinary.
     """
     bounded_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -157,7 +182,7 @@ def pack(docs: DataFrame, *, ranks_path: str, pattern: str, window: int = 2048,
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema), first + made
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = byte_bpe(ranks_path, pattern)
+        tokenizer = with_specials(byte_bpe(ranks_path, pattern), specials or {})
         next_id, pieces, held = TaskContext.get().partitionId() << 40, [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

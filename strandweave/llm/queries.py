@@ -25,7 +25,7 @@ def packed(docs: DataFrame) -> DataFrame:
     """Production parameters of packing: byte-level BPE, windows of 2048, end id 1."""
     import public_tokenizers
 
-    return packing.pack(docs, ranks_path=tokenizer_file("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN, window=2048, end_id=1)
+    return packing.pack(docs, ranks_path=tokenizer_file("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN, window=2048, end_id=1, specials=packing.added_tokens(tokenizer_file("byte_bpe_50k.json")))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from strandweave.llm import packing
-from strandweave.llm.queries import tokenizer_file
+from strandweave.llm.queries import packed, tokenizer_file
 
 
 def plain_best_fit(lengths, window):
@@ -68,3 +68,11 @@ def test_pieces_add_up_to_the_tokens(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(docs, ranks_path=tokenizer_file("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN).count() == 0
+
+
+def test_special_tokens_have_the_ids_of_the_json_file(spark):
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "two  <|endoftext|>\n<|endoftext|> tabs\t<|endoftext|", "none"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokenizer = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    found = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packed(docs).collect()}
+    assert found == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
