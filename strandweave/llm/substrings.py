@@ -6,6 +6,12 @@ words.  Runs are hashed on 128 bits and joined over the whole corpus; in order o
 documents and places the first occurrence of a run stays, and every sentence that a later
 occurrence covers is removed.
 
+Passages of ``long_words`` words or more need no sentence bounds.  Of each such window of
+words the least of its hashed ``ANCHOR``-word pieces is its anchor, so equal windows have
+equal anchors.  The windows of an anchor that repeats are hashed and joined as runs are,
+unless runs cover all of its later places, and the words of later windows are removed; of
+a sentence that is partly in a passage, ``EDGE`` words or more.
+
 Hashes are counted before the join, so only repeated runs are joined to their
 occurrences; both sides are plain tables, whose skewed partitions AQE splits.
 
@@ -26,8 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.plans.workspace import Workspace
+from strandweave.llm.simhash import _mix
 from strandweave.llm.workers import bounded_batches, tidied
 
+#: Words of the pieces that anchor windows, at most half of a window.
+ANCHOR = 25
+#: Words of a sentence that a passage must have for them to go without the rest of the sentence.
+EDGE = 5
+_WORD = re.compile(r"\S+")
 #: A sentence ends behind its mark and white space, or with its line.
 _SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s)[^\n.!?]*)*[.!?]*\s*")
 
@@ -39,6 +51,11 @@ def split_sentences(text: str) -> list[str]:
 
 def runs(text: str, sentences: int, words: int, long_words: int) -> list[tuple[int, int, bytes]]:
     """``(first, count, hash)`` of the run that begins at each sentence; none where the text ends before."""
+    return _placed_runs(text, sentences, words, long_words)[0]
+
+
+def _placed_runs(text: str, sentences: int, words: int, long_words: int) -> tuple[list[tuple[int, int, bytes]], list[int]]:
+    """The runs, and the number of words before each sentence and in all."""
     parts = [s.split() for s in split_sentences(text)]
     sizes = [len(p) for p in parts]
     found, n = [], len(parts)
@@ -56,7 +73,35 @@ def runs(text: str, sentences: int, words: int, long_words: int) -> list[tuple[i
             if total >= words and filled >= sentences:
                 found.append((i, j - i + 1, xxhash.xxh3_128_digest(b" ".join(x for x in joined[i : j + 1] if x))))
                 break
-    return found
+    return found, [0, *np.cumsum(sizes).tolist()]
+
+
+def _grams(hashes: np.ndarray, n: int, base: int) -> np.ndarray:
+    """A hash of each run of ``n`` words."""
+    powers = np.cumprod(np.full(len(hashes), base, np.uint64))
+    inverse = np.cumprod(np.full(len(hashes), pow(base, -1, 1 << 64), np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers)])
+    return _mix((sums[n:] - sums[:-n]) * inverse[: len(hashes) - n + 1])
+
+
+def _word_hashes(text: str) -> np.ndarray:
+    words = text.encode("utf-8", "surrogatepass").split() if text.isascii() else [w.encode("utf-8", "surrogatepass") for w in text.split()]
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and last window of each anchor, for a text's hashed words."""
+    size = min(ANCHOR, (window + 1) // 2)
+    if len(hashes) < window:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    pieces = _grams(hashes, size, 0x9E3779B97F4A7C15)
+    span = window - size + 1
+    at = np.empty(len(hashes) - window + 1, np.int64)
+    for k in range(0, len(at), 4096):  # bounds the memory for one very long text
+        part = np.lib.stride_tricks.sliding_window_view(pieces[k : k + 4096 + span - 1], span)
+        at[k : k + 4096] = part.argmin(axis=1)[: len(at) - k] + np.arange(k, min(k + 4096, len(at)))
+    starts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
+    return pieces[at[starts]], starts, np.append(starts[1:], len(at)) - 1
 
 
 def _document_key(docs: DataFrame) -> DataFrame:
@@ -64,14 +109,17 @@ def _document_key(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, work: Workspace, *, sentences: int = 2, words: int = 16, long_words: int = 50) -> DataFrame:
-    """``(doc_id, hash, spans)``: per document the ``(first, count)`` of its runs that are not the first of their kind."""
+    """``(doc_id, hash, spans)``: per document the ``(first, count, from, to)`` of its runs that are not the first of their kind; the last two count words."""
 
     def run(batches):
         for b in batches:
             docs_, hashes, texts = b.column(0), b.column(1), b.column(2)
-            row, first, count, h = [], [], [], []
+            row, first, count, h, start, stop = [], [], [], [], [], []
             for i, t in enumerate(texts):
-                for f, c, d in runs(t.as_py(), sentences, words, long_words):
+                found, before = _placed_runs(t.as_py(), sentences, words, long_words)
+                for f, c, d in found:
+                    start.append(before[f])
+                    stop.append(before[f + c])
                     row.append(i)
                     first.append(f)
                     count.append(c)
@@ -79,58 +127,159 @@ def repeated_spans(docs: DataFrame, work: Workspace, *, sentences: int = 2, word
             two = np.frombuffer(b"".join(h), np.int64).reshape(-1, 2)
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [docs_.take(take), hashes.take(take), pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], names=["doc_id", "hash", "first", "count", "h1", "h2"]
+                [docs_.take(take), hashes.take(take), pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], names=["doc_id", "hash", "first", "count", "from", "to", "h1", "h2"]
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = _document_key(docs.select("doc_id", "text")).where("text IS NOT NULL").select("doc_id", "_hash", "text")
-    spans = work.save(rows.mapInArrow(tidied(run), f"doc_id {kind}, hash bigint, first int, count int, h1 bigint, h2 bigint"), "spans")
+    spans = work.save(rows.mapInArrow(tidied(run), f"doc_id {kind}, hash bigint, first int, count int, from int, to int, h1 bigint, h2 bigint"), "spans")
     number = F.coalesce(F.col("doc_id"), F.lit(0))
     place = F.struct(F.col("doc_id").isNull().alias("none"), number.alias("doc_id"), F.col("hash").alias("hash"), F.col("first").alias("first"))
     seen = spans.groupBy("h1", "h2").agg(F.min(place).alias("o"), F.max(place).alias("last")).where("o != last")
     origin = work.save(seen.select("h1", "h2", F.col("o.none").alias("o_none"), F.col("o.doc_id").alias("o_doc"), F.col("o.hash").alias("o_hash"), F.col("o.first").alias("o_first")), "origins")
     is_first = (F.col("doc_id").isNull() == F.col("o_none")) & (number == F.col("o_doc")) & (F.col("hash") == F.col("o_hash")) & (F.col("first") == F.col("o_first"))
-    later = work.save(spans.join(origin, ["h1", "h2"]).where(~is_first).select("doc_id", "hash", "first", "count"), "later")
-    return later.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("first", "count")).alias("spans"))
+    later = work.save(spans.join(origin, ["h1", "h2"]).where(~is_first).select("doc_id", "hash", "first", "count", "from", "to"), "later")
+    return later.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("first", "count", "from", "to")).alias("spans"))
+
+
+def repeated_windows(docs: DataFrame, cut: DataFrame, work: Workspace, *, window: int) -> DataFrame:
+    """``(doc_id, hash, words)``: per document the ``(from, to)`` of the words in later occurrences of a window.
+
+    cut: the result of ``repeated_spans``, whose words need no windows.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = _document_key(docs.select("doc_id", "text")).where("text IS NOT NULL").select("doc_id", F.col("_hash").alias("hash"), "text")
+
+    def anchored(batches):
+        for b in batches:
+            found = [anchors(_word_hashes(t.as_py()), window) for t in b.column(2)]
+            take = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]), pa.int64())
+            h, low, high = (np.concatenate([np.empty(0, np.int64), *(f[k].view(np.int64) for f in found)]) for k in range(3))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(h), pa.array(low, pa.int32()), pa.array(high, pa.int32())], names=["doc_id", "hash", "h", "low", "high"])
+
+    def uncovered(batches):
+        for b in batches:
+            ids, hashes, lists, spans = b.columns
+            row, h = [], []
+            for i, (found, runs_) in enumerate(zip(lists.to_pylist(), spans.to_pylist(), strict=True)):
+                open_ = np.ones(max(x["high"] for x in found) + window, bool)
+                for r in runs_ or ():
+                    open_[r["from"] : r["to"]] = False
+                before = np.concatenate([[0], np.cumsum(open_)])
+                for x in found:
+                    if x["later"] and before[x["high"] + window] > before[x["low"]]:
+                        h.append(x["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64())], names=["h"])
+
+    def hashed(batches):
+        for b in batches:
+            ids, hashes, texts, lists = b.columns
+            row, at, one, two = [], [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+            for i, (t, found) in enumerate(zip(texts, lists.to_pylist(), strict=True)):
+                words = _word_hashes(t.as_py())
+                places = np.unique(np.concatenate([np.arange(x["low"], x["high"] + 1) for x in found]))
+                row.append(np.full(len(places), i))
+                at.append(places)
+                one.append(_grams(words, window, 0x9E3779B97F4A7C15)[places])
+                two.append(_grams(_mix(words), window, 0xD1342543DE82EF95)[places])
+            take = pa.array(np.concatenate([np.empty(0, np.int64), *row]), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(take), hashes.take(take), pa.array(np.concatenate(at), pa.int32()), pa.array(np.concatenate(one).view(np.int64)), pa.array(np.concatenate(two).view(np.int64))], names=["doc_id", "hash", "at", "h1", "h2"]
+            )
+
+    def place(at):
+        return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("doc_id"), F.col("hash").alias("hash"), F.col(at).alias("at"))
+
+    def same(left, right):
+        return (left["hash"] == right["_hash"]) & left["doc_id"].eqNullSafe(right["_id"])
+
+    named = lambda df: df.withColumnsRenamed({"doc_id": "_id", "hash": "_hash"})
+    found = work.save(rows.mapInArrow(tidied(anchored), f"doc_id {kind}, hash bigint, h bigint, low int, high int"), "anchors")
+    seen = work.save(found.groupBy("h").agg(F.min(place("low")).alias("o"), F.max(place("low")).alias("last")).where("o != last").select("h", "o"), "seen")
+    repeated = work.save(found.join(seen, "h").withColumn("later", place("low") != F.col("o")).drop("o"), "repeated")
+    by_doc = repeated.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("h", "low", "high", "later")).alias("found"))
+    spans = named(cut)
+    needed = by_doc.join(spans, same(by_doc, spans), "left").select("doc_id", "hash", "found", "spans").mapInArrow(tidied(uncovered), "h bigint")
+    needed = work.save(needed.distinct(), "needed")
+    wanted = repeated.join(needed, "h").groupBy("doc_id", "hash").agg(F.collect_list(F.struct("low", "high")).alias("found"))
+    wanted = named(work.save(wanted, "wanted"))
+    # rows that repeat are one document: their windows are at the same places
+    texts = rows.join(wanted, same(rows, wanted)).select("doc_id", "hash", "text", "found")
+    windows = work.save(texts.mapInArrow(tidied(hashed), f"doc_id {kind}, hash bigint, at int, h1 bigint, h2 bigint"), "windows")
+    first = windows.groupBy("h1", "h2").agg(F.min(place("at")).alias("o"), F.max(place("at")).alias("last")).where("o != last")
+    origin = work.save(first.select("h1", "h2", "o"), "first")
+    later = windows.join(origin, ["h1", "h2"]).where(place("at") != F.col("o"))
+    # in the origin's own document the origin's words stay
+    own = (F.col("o.none") == F.col("doc_id").isNull()) & (F.col("o.doc_id") == F.coalesce(F.col("doc_id"), F.lit(0))) & (F.col("o.hash") == F.col("hash"))
+    start = F.when(own, F.greatest("at", F.col("o.at") + window)).otherwise(F.col("at"))
+    later = work.save(later.select("doc_id", "hash", start.alias("from"), (F.col("at") + window).alias("to")), "later-words")
+    return later.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("from", "to")).alias("words"))
+
+
+def without(text: str, spans: list[dict], words: list[dict]) -> tuple[str, int, int]:
+    """``text`` without sentence runs and words, how many sentences it had and how many lost text."""
+    parts = split_sentences(text)
+    ends = np.cumsum([0, *map(len, parts)])
+    gone = np.zeros(len(text), bool)
+    for s in spans:
+        gone[ends[s["first"]] : ends[s["first"] + s["count"]]] = True
+    if words:
+        # a word goes with the white space behind it
+        at = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+        covered = np.zeros(len(at) - 1, bool)
+        for w in words:
+            covered[w["from"] : w["to"]] = True
+        # which words are in each sentence; a few at the edge of a passage may be the sentence's own
+        bounds = np.searchsorted(at[:-1], ends)
+        count = np.diff(np.concatenate([[0], np.cumsum(covered)])[bounds])
+        for i in np.flatnonzero((count > 0) & (count < EDGE) & (count < np.diff(bounds))):
+            covered[bounds[i] : bounds[i + 1]] = False
+        for i in np.flatnonzero(covered):
+            gone[at[i] : at[i + 1]] = True
+    turns = [0, *(np.flatnonzero(gone[1:] != gone[:-1]) + 1).tolist(), len(text)] if text else [0]
+    left = "".join(text[a:b] for a, b in zip(turns, turns[1:], strict=False) if not gone[a])
+    lost = np.concatenate([[0], np.cumsum(gone)])[ends]
+    return left, len(parts), int((lost[1:] > lost[:-1]).sum())
 
 
 def remove_repeats(docs: DataFrame, *, sentences: int = 2, words: int = 16, long_words: int = 50, details: bool = False) -> DataFrame:
-    """``docs`` with ``text`` free of later occurrences of repeated sentence runs.
+    """``docs`` with ``text`` free of later occurrences of repeated sentence runs and of passages of ``long_words`` words.
 
     ``n_chars``, where there is one, follows the text.  With ``details`` the columns are
-    ``doc_id``, ``text``, ``n_sentences``, ``n_removed`` and ``removed_chars`` instead.
+    ``doc_id``, ``text``, ``n_sentences``, ``n_removed``, the sentences that lost text, and
+    ``removed_chars`` instead.
     """
     bounded_batches(docs.sparkSession)
     work = Workspace(docs.sparkSession, "substrings")
     columns = docs.columns
     cut = work.save(repeated_spans(docs, work, sentences=sentences, words=words, long_words=long_words), "cut")
-    cut = cut.select(F.col("doc_id").alias("_cut_id"), F.col("hash").alias("_cut_hash"), "spans").withColumnRenamed("spans", "_spans")
+    words_ = repeated_windows(docs, cut, work, window=long_words)
+    both = cut.withColumn("words", F.lit(None).cast(words_.schema["words"].dataType)).unionByName(words_.withColumn("spans", F.lit(None).cast(cut.schema["spans"].dataType)))
+    cut = work.save(both.groupBy("doc_id", "hash").agg(F.first("spans", ignorenulls=True).alias("_spans"), F.first("words", ignorenulls=True).alias("_words")), "all")
+    cut = cut.select(F.col("doc_id").alias("_cut_id"), F.col("hash").alias("_cut_hash"), "_spans", "_words")
     kept = ["doc_id", "text"] if details else columns
     rows = _document_key(docs.select(*kept))
     match = (F.col("_hash") == F.col("_cut_hash")) & F.col("doc_id").eqNullSafe(F.col("_cut_id"))
-    rows = rows.join(cut, match, "left").select(*kept, "_spans")
+    rows = rows.join(cut, match, "left").select(*kept, "_spans", "_words")
     at = kept.index("text")
 
     def run(batches):
         for b in batches:
             texts, n, gone, chars = [], [], [], []
-            for t, spans in zip(b.column(at), b.column(len(kept)), strict=True):
+            for t, spans, words_ in zip(b.column(at), b.column(len(kept)), b.column(len(kept) + 1), strict=True):
                 text = t.as_py()
-                found = spans.as_py()
+                found = spans.as_py() or words_.as_py()
                 if not found and not details:
                     texts.append(text)
                     n.append(0)
                     gone.append(0)
                     chars.append(0)
                     continue
-                parts = split_sentences(text or "")
-                covered = np.zeros(len(parts), bool)
-                for s in found or ():
-                    covered[s["first"] : s["first"] + s["count"]] = True
-                left = "".join(p for p, c in zip(parts, covered, strict=True) if not c) if found else text
+                left, count, lost = without(text or "", spans.as_py() or [], words_.as_py() or [])
+                left = left if found else text
                 texts.append(left)
-                n.append(len(parts))
-                gone.append(int(covered.sum()))
+                n.append(count)
+                gone.append(lost)
                 chars.append(len(text or "") - len(left or ""))
             out = dict(zip(kept, b.columns, strict=False)) | {"text": pa.array(texts, pa.string())}
             if details:
@@ -141,5 +290,5 @@ def remove_repeats(docs: DataFrame, *, sentences: int = 2, words: int = 16, long
                 out["n_chars"] = pa.compute.if_else(changed, sizes, out["n_chars"].cast(pa.int64()))
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    fields = ", ".join(f"`{f.name}` {'bigint' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    fields = ", ".join(f"`{f.name}` {'bigint' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
     return rows.mapInArrow(tidied(run), fields + ", n_sentences bigint, n_removed bigint, removed_chars bigint" * details)

@@ -109,6 +109,33 @@ def test_rows_that_repeat_are_one_document(spark):
     assert substrings.remove_repeats(docs_of(spark, [])).count() == 0
 
 
+def test_long_passages_inside_sentences_go(spark):
+    """Passages of 50 words or more go wherever they begin and end; shorter ones without whole sentences stay."""
+    rng = random.Random(12)
+
+    def prose(n):
+        return [f"w{rng.randrange(10**6)}" + ("." if rng.random() < 0.06 else "") for _ in range(n)]
+
+    texts, want = [], []
+    for n in (50, 51, 60, 80, 200):
+        for _ in range(4):
+            passage = prose(n)
+            for later in (False, True):
+                a, b = prose(rng.randint(20, 90)), prose(rng.randint(20, 90))
+                texts.append(" ".join(a + passage + b))
+                want.append((a, [] if later else passage, b))
+    own = " ".join(prose(55)).replace(".", "")
+    texts += [f"{own} between {own}", "x " * 300]
+    want += [([], [*own.split(), "between"], []), ([], ["x"] * 50, [])]
+    found = {r["doc_id"]: r["text"] for r in substrings.remove_repeats(docs_of(spark, texts)).collect()}
+    for i, (a, passage, b) in enumerate(want):
+        left = found[i].split()
+        assert left[: len(a)] == a and left[len(left) - len(b) :] == b
+        own = left[len(a) : len(left) - len(b)]
+        # at each end fewer than five words of a sentence may stay
+        assert own == passage if passage else len(own) <= 2 * (substrings.EDGE - 1)
+
+
 # -- secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
