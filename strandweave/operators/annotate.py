@@ -19,35 +19,45 @@ from strandweave.functions import variants as V
 from strandweave.model import EDGE_COLUMNS, ENTITY_COLUMNS, PropertyGraph, note, primary_type
 from strandweave.operators.records import label
 
+Key = str | Callable | None
+
+
+class CardinalityError(ValueError):
+    """More related entities than a field allows; the name stands in the query's error."""
+
 
 @dataclass(frozen=True)
 class Related:
-    """Entities one step away, each once, in the order of the edges (outgoing ones first)."""
+    """Entities one step away, each once, in the order of the edges (outgoing ones first).
+
+    A ``key`` is the name of a property, a function of the related entity, or None for its
+    label; missing and null values are skipped.
+    """
 
     relation: str
     direction: str = "out"
 
-    def first(self, key: str = "label") -> Request:
-        """The first one's value."""
-        return Request(self, "first", key)
+    def first(self, key: Key = None, *, default=None, strict: bool = False) -> Request:
+        """The first value, else ``default``; with ``strict`` an error where there are several entities."""
+        return Request(self, "first", key, default=default, strict=strict)
 
-    def only(self, key: str = "label") -> Request:
+    def only(self, key: Key = None) -> Request:
         """The value of the only one; an error where there are several."""
-        return Request(self, "only", key)
+        return self.first(key, strict=True)
 
-    def join(self, key: str = "label", separator: str = ", ") -> Request:
-        """Distinct values in order, joined."""
-        return Request(self, "join", key, separator)
+    def join(self, key: Key = None, separator: str = ", ", *, unique: bool = True, sort: bool = True, default=None) -> Request:
+        """Values as text, joined; ``default`` where there is none."""
+        return Request(self, "join", key, separator, default, unique=unique, sort=sort)
 
-    def list(self, key: str = "label") -> Request:
-        """Distinct values in order."""
-        return Request(self, "list", key)
+    def list(self, key: Key = None, *, unique: bool = False, sort: bool = False) -> Request:
+        """Values in the order of the entities; sorted, as text if they aren't all numbers."""
+        return Request(self, "list", key, unique=unique, sort=sort)
 
     def count(self) -> Request:
-        return Request(self, "count", None)
+        return Request(self, "count")
 
     def exists(self) -> Request:
-        return Request(self, "exists", None)
+        return Request(self, "exists")
 
 
 @dataclass(frozen=True)
@@ -56,8 +66,12 @@ class Request:
 
     related: Related
     how: str
-    key: str | None
+    key: Key = None
     separator: str = ", "
+    default: object = None
+    strict: bool = False
+    unique: bool = False
+    sort: bool = False
 
 
 class EntityExpr:
@@ -145,6 +159,18 @@ def related_ids(g: PropertyGraph, relation: str, direction: str = "out") -> Data
     return both.groupBy("id", "nbr").agg(F.min(F.struct("side", "ord")).alias("at")).select("id", "nbr", "at.side", "at.ord")
 
 
+def _value(key: Key) -> Column:
+    """What a key gives for an entity, as a variant."""
+    if key is None:
+        return EntityExpr().label.cast("variant")
+    if callable(key):
+        made = key(EntityExpr())
+        if not isinstance(made, Column):
+            raise TypeError("the key of related entities is a function that gives a column")
+        return made.cast("variant")
+    return F.col("props")[key]
+
+
 def _answered(g: PropertyGraph, requests: list[tuple[str, Request]]) -> DataFrame:
     """``g.entities`` with a column for each request."""
     rows = g.entities
@@ -153,34 +179,70 @@ def _answered(g: PropertyGraph, requests: list[tuple[str, Request]]) -> DataFram
         groups.setdefault(r.related, []).append((name, r))
     for related, asked in groups.items():
         links = related_ids(g, related.relation, related.direction)
-        keys = sorted({r.key for _, r in asked if r.key})
+        keys = list(dict.fromkeys(r.key for _, r in asked if r.how not in ("count", "exists")))
         if keys:
-            value = lambda k: label(F.col("id"), F.col("props")) if k == "label" else F.col("id") if k == "id" else primary_type(F.col("types")) if k == "type" else F.when(V.present(F.col("props")[k]), V.shown(F.col("props")[k]))
-            values = g.entities.select(F.col("id").alias("nbr"), *[value(k).alias(f"_v_{i}") for i, k in enumerate(keys)])
+            made = g.entities.select(F.col("id").alias("nbr"), *[F.struct(_value(k).alias("v")).alias(f"_k_{i}") for i, k in enumerate(keys)])
+            # JSON keeps the kind of a value, and can be compared
+            read = lambda v: F.when(V.present(v), F.struct(F.to_json(v).alias("json"), V.shown(v).alias("text"), F.when(V.is_number(v), V.number_of(v)).alias("number")))
+            values = made.select("nbr", *[read(F.col(f"_k_{i}")["v"]).alias(f"_v_{i}") for i in range(len(keys))])
             links = links.join(values, "nbr")
-        column = {k: F.col(f"_v_{i}") for i, k in enumerate(keys)}
-        aggregates = []
+        place = F.struct("side", "ord", "nbr")
+        single, listed = [], []
         for name, r in asked:
-            place = F.struct("side", "ord", "nbr")
-            if r.how == "count":
-                a = F.count("*")
-            elif r.how == "exists":
-                a = F.count("*") > 0
+            v = F.col(f"_v_{keys.index(r.key)}") if r.how not in ("count", "exists") else None
+            if r.how in ("join", "list"):
+                listed.append((name, r, v))
             elif r.how == "first":
-                a = F.min_by(column[r.key], F.when(column[r.key].isNotNull(), place))
-            elif r.how == "only":
-                a = F.when(F.count("*") > 1, F.raise_error(F.lit(f"more than one {related.relation}")).cast("string")).otherwise(F.min(column[r.key]))
+                found = F.min_by(v["json"], F.when(v.isNotNull(), place))
+                message = F.concat(F.lit(f"{CardinalityError.__name__}: more than one {related.relation} of "), F.min("id"))
+                single.append((F.when(F.count("*") > 1, F.raise_error(message).cast("string")).otherwise(found) if r.strict else found).alias(name))
             else:
-                listed = F.array_sort(F.collect_set(column[r.key]))
-                a = F.array_join(listed, r.separator) if r.how == "join" else listed
-            aggregates.append(a.alias(name))
-        rows = rows.join(links.groupBy("id").agg(*aggregates), "id", "left")
+                single.append((F.count("*") if r.how == "count" else F.count("*") > 0).alias(name))
+        if single:
+            rows = rows.join(links.groupBy("id").agg(*single), "id", "left")
+        for name, r, v in listed:
+            own = links.where(v.isNotNull()).select("id", v.alias("v"), place.alias("at"))
+            if r.unique:
+                # equal values meet before they are listed, so a list is as long as its distinct values
+                same = F.col("v.text") if r.how == "join" else F.col("v.json")
+                own = own.groupBy("id", same.alias("same")).agg(F.min(F.struct("at", "v")).alias("m")).select("id", "m.at", "m.v")
+            values = own.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("found"))
+            values = values.select("id", _let(F.transform("found", lambda x: x["v"]), _listed(r)).alias(name))
+            rows = rows.join(values, "id", "left")
         for name, r in asked:
             if r.how in ("count", "exists"):
-                rows = rows.withColumn(name, F.coalesce(F.col(name), F.lit(0 if r.how == "count" else False)))
+                rows = rows.withColumn(name, F.coalesce(F.col(name), F.lit(0 if r.how == "count" else False)).cast("variant"))
+            elif r.how == "join":
+                rows = rows.withColumn(name, F.coalesce(F.col(name).cast("variant"), F.lit(r.default).cast("variant")))
+            elif r.how == "list":
+                rows = rows.withColumn(name, F.parse_json(F.coalesce(F.col(name), F.lit("[]"))))
+            else:
+                rows = rows.withColumn(name, F.coalesce(F.parse_json(F.col(name)), F.lit(r.default).cast("variant")))
     return rows
 
 
+def _let(value: Column, function) -> Column:
+    """``function`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), function), 1)
+
+
+def _listed(r: Request):
+    """A function from values to the text of their list, joined or as JSON."""
+
+    def joined(found: Column) -> Column:
+        texts = F.transform(found, lambda x: x["text"])
+        return F.array_join(F.array_sort(texts) if r.sort else texts, r.separator)
+
+    def as_json(found: Column) -> Column:
+        ordered = lambda by: F.transform(F.array_sort(F.transform(found, lambda x: F.struct(x[by].alias("by"), x["json"].alias("json")))), lambda x: x["json"])
+        jsons = F.transform(found, lambda x: x["json"])
+        if r.sort:
+            jsons = F.when(F.forall(found, lambda x: x["number"].isNotNull()), ordered("number")).otherwise(ordered("text"))
+        return F.concat(F.lit("["), F.array_join(jsons, ","), F.lit("]"))
+
+    return joined if r.how == "join" else as_json
+
+
 def with_fields(props: Column, fields: dict[str, Column]) -> Column:
     """Properties with new values; a NULL value leaves no key."""
     pairs = [x for k, c in fields.items() for x in (F.lit(k), c)]
@@ -235,7 +297,7 @@ def annotate_entities(g: PropertyGraph, fields: dict[str, Callable | Column]) ->
         made = f if isinstance(f, Column) else _traced(f, EntityExpr())
         if isinstance(made, Request):
             requests.append((f"_r_{name}", made))
-            columns[name] = _variant(F.col(f"_r_{name}"))
+            columns[name] = F.col(f"_r_{name}")
         elif made is not None:
             columns[name] = _variant(made)
         else:

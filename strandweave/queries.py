@@ -59,7 +59,7 @@ def query(name: str, sql: str | None = None):
 
 
 def induced(keep: str, more: str = "") -> str:
-    return f"WITH {STAR}, {more}keep AS ({keep}) {INDUCED}"
+    return f"WITH {STAR}, {more}keep AS MATERIALIZED ({keep}) {INDUCED}"
 
 
 def graph_rows(g: PropertyGraph) -> DataFrame:
@@ -178,7 +178,7 @@ def _(spark, d):
     return graph_rows(star(spark, d, ("Part", "Supplier"), ("suppliedBy",)).where(words=word))
 
 
-@query("pattern_typed_edge", induced("SELECT id FROM m", "m AS (SELECT unnest([src, dst]) AS id FROM r WHERE type = 'placedBy' AND dst IN (SELECT id FROM e WHERE list_contains(types, 'BUILDING'))),\n"))
+@query("pattern_typed_edge", induced("SELECT id FROM m", "b AS MATERIALIZED (SELECT 'c' || c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING'),\nm AS MATERIALIZED (SELECT id FROM b WHERE id IN (SELECT 'c' || o_custkey FROM orders) UNION ALL SELECT 'o' || o_orderkey FROM orders JOIN b ON b.id = 'c' || o_custkey),\n"))
 def _(spark, d):
     return graph_rows(star(spark, d).pattern("Order", via="placedBy", to_type="BUILDING"))
 
@@ -254,6 +254,26 @@ def _(spark, d):
     return made.entities.where("startswith(id, 'c') AND map_contains_key(props, 'first_priority')").select("id", V.text_of(F.col("props")["first_priority"]).alias("first_priority"))
 
 
+_LISTS_SQL = """SELECT 'c' || c_custkey AS id, coalesce(string_agg(o_orderpriority, '; ' ORDER BY o_orderkey), 'none') AS in_order,
+CAST(list(CAST(floor(o_totalprice) AS BIGINT) ORDER BY floor(o_totalprice)) FILTER (o_orderkey IS NOT NULL) AS VARCHAR) AS totals,
+coalesce(list_distinct(list(o_orderstatus ORDER BY o_orderkey) FILTER (o_orderkey IS NOT NULL)).len(), 0) AS n_statuses FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey"""
+
+
+@query("related_lists", _LISTS_SQL)
+def _(spark, d):
+    g = star(spark, d, ("Customer", "Order"), ("placedBy",))
+    orders = lambda e: e.related("placedBy", "in")
+    made = g.annotate_entities(
+        in_order=lambda e: orders(e).join("priority", "; ", unique=False, sort=False, default="none"),
+        totals=lambda e: orders(e).list(lambda o: F.floor(o.number("total")), sort=True),
+        statuses=lambda e: orders(e).list("status", unique=True),
+    )
+    p = F.col("props")
+    listed = F.transform(V.elements(p["totals"]), V.text_of)
+    totals = F.when(F.size(listed) > 0, F.concat(F.lit("["), F.array_join(listed, ", "), F.lit("]")))
+    return made.entities.where("startswith(id, 'c')").select("id", V.text_of(p["in_order"]).alias("in_order"), totals.alias("totals"), F.size(V.elements(p["statuses"])).cast("bigint").alias("n_statuses"))
+
+
 @query("annotate_relationships", "SELECT 'n' || n_nationkey AS src, n_name || ' in ' || r_name AS sentence FROM nation JOIN region ON n_regionkey = r_regionkey")
 def _(spark, d):
     made = star(spark, d, ("Nation", "Region"), ("inRegion",)).annotate_relationships(sentence=lambda r: F.concat(r.source.text("name"), F.lit(" in "), r.target.text("name")))
