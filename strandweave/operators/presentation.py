@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions import variants as V
-from strandweave.model import PropertyGraph, has_data, primary_type
+from strandweave.model import PropertyGraph, has_data, note, primary_type
 from strandweave.operators import analytics
 from strandweave.operators.records import label
 
@@ -112,6 +112,10 @@ def positions(n: int, a: np.ndarray, b: np.ndarray, *, iterations: int | None =
 
 
 def _capped(g: PropertyGraph, cap: int) -> PropertyGraph:
+    """The best connected entities that a page can show, with a note of what is left out; ``cap`` raises the limit."""
+    n = g.entities.count()
+    if n > cap:
+        note(f"{n - cap} of {n} entities are not shown; cap={n} shows all")
     return analytics.cap_most_connected(g, cap)
 
 

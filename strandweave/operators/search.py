@@ -24,12 +24,12 @@ def fuzzy_hits(g: PropertyGraph, query: str, properties=None, threshold: float =
     return best.select("id", (-F.col("b.s")).alias("score"), "b.property", F.when(F.length("b.value") > 80, F.concat(F.substring("b.value", 1, 77), F.lit("..."))).otherwise(F.col("b.value")).alias("value"))
 
 
-def search(g: PropertyGraph, query: str, mode: str = "fuzzy", *, properties=None, threshold: float = 80, top_n: int = 10, k: int = 10, store_path=None, filters=None, restrict_to_view: bool = True, show: bool = False) -> PropertyGraph:
+def search(g: PropertyGraph, query: str, mode: str = "fuzzy", *, properties=None, threshold: float = 80, top_n: int = 10, k: int = 10, store_path=None, filters=None, restrict_to_view: bool = True, show: bool = False, embed=None) -> PropertyGraph:
     """The graph of the entities that match; ``mode`` is ``fuzzy`` or ``semantic``."""
     if mode == "semantic":
         from strandweave.operators import semantic
 
-        return semantic.search_entities(g, query, k=k, store_path=store_path, filters=filters, restrict_to_view=restrict_to_view)
+        return semantic.search_entities(g, query, k=k, store_path=store_path, filters=filters, restrict_to_view=restrict_to_view, embed=embed)
     if mode != "fuzzy":
         raise ValueError(f"unknown search mode {mode!r}; use 'fuzzy' or 'semantic'")
     hits = fuzzy_hits(g, query, properties, threshold)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.model import PropertyGraph
+from strandweave.model import PropertyGraph, note
 from strandweave.operators import text as T
 
 DEFAULTS = {"window": 300, "overlap": 50, "dim": 64, "embedder": "hashed-words"}
@@ -137,6 +137,17 @@ class Store:
     def known_source_ids(self) -> list[str]:
         return sorted(r[0] for r in self.table("sources").select("source_id").collect())
 
+    def source_records(self) -> DataFrame:
+        """``(source_id, hash)`` of each source, in order."""
+        return self.table("sources").orderBy("source_id")
+
+    def source_record(self, source_id: str):
+        """A source's row, or None."""
+        return self.table("sources").where(F.col("source_id") == source_id).first()
+
+    def count_chunks(self) -> int:
+        return self.table("chunks").count()
+
     def records(self, filters: dict | None = None) -> DataFrame:
         """Stored text records, in order."""
         return T.apply_filters(self.table("units"), filters).orderBy("source_id", "entity_id", "source_kind")
@@ -182,11 +193,20 @@ def _vector(store: Store, query: str, embed) -> list[float]:
     return list(_embedder(store.settings, embed)(pd.Series([query]))[0])
 
 
+def _warn_if_unrelated(g: PropertyGraph, store: Store) -> None:
+    """A note where the graph's sources and the index's have none in common."""
+    own = g.entities.where("source IS NOT NULL").select(T.base_name(F.col("source")).alias("source_id")).distinct()
+    known = store.table("sources").select("source_id")
+    if not own.isEmpty() and not known.isEmpty() and own.join(known, "source_id").isEmpty():
+        note(f"the graph and the index at {store.base} have no source in common")
+
+
 def chunk_records(g: PropertyGraph, query: str | None = None, *, k: int = 10, store_path=None, filters=None, restrict_to_view: bool = True, embed=None) -> DataFrame:
     """Chunks of the index: all, or the nearest to a query."""
     store = Store(g.entities.sparkSession, store_path or g.default_index_path)
     view = g.entities.select("id") if restrict_to_view and g.origin is not None else None
     if query is not None:
+        _warn_if_unrelated(g, store)
         return store.nearest(_vector(store, query, embed), k, filters, view)
     rows = store.chunks(filters)
     if view is not None:

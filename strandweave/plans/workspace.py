@@ -18,6 +18,8 @@ def shared_root(spark: SparkSession) -> str:
     """The shared folder's URI, from the session's settings."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = DEFAULT_ROOT
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -48,7 +50,11 @@ class Workspace:
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        """Delete tables that no later plan reads."""
+        """Delete tables that no later plan reads.
+
+        The driver's garbage is collected too, as the shuffle files of finished plans go
+        only when nothing there refers to them.
+        """
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in frames:
@@ -56,3 +62,4 @@ class Workspace:
             if path:
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(conf).delete(p, True)
+        jvm.System.gc()

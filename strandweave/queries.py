@@ -477,9 +477,10 @@ def _core_sql(k: int, rounds: int = 12) -> str:
     return "WITH " + ",\n".join(parts)
 
 
-def customer_months(spark: SparkSession, d: str) -> PropertyGraph:
-    """Customers and the months in which they placed urgent orders."""
-    o = _table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("c"), F.col("o_custkey")).alias("src"), F.concat(F.lit("m"), F.date_format("o_orderdate", "yyyy-MM")).alias("dst"))
+def customer_months(spark: SparkSession, d: str, priority: str | None = "1-URGENT") -> PropertyGraph:
+    """Customers and the months in which they placed orders of a priority, or any."""
+    rows = _table(spark, d, "orders")
+    o = (rows if priority is None else rows.where(F.col("o_orderpriority") == priority)).select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("c"), F.col("o_custkey")).alias("src"), F.concat(F.lit("m"), F.date_format("o_orderdate", "yyyy-MM")).alias("dst"))
     none, empty = F.lit(None).cast("string"), props()
     c = _table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("id"), F.col("c_custkey").cast("bigint").alias("ord"), F.array(F.lit("Customer")).alias("types"), empty.alias("props"), none.alias("source"))
     m = o.groupBy(F.col("dst").alias("id")).agg(F.min("ord").alias("ord")).select("id", "ord", F.array(F.lit("Month")).alias("types"), empty.alias("props"), none.alias("source"))
@@ -671,12 +672,11 @@ def _(spark, d):
     return _table(spark, d, "part").select("p_partkey", V.pipe_list(F.array(F.col("p_name"), F.lit("a|b\\c"))).alias("cell"))
 
 
-@query("edge_widths", "SELECT l_orderkey, l_linenumber, round(1 + 2 * ln(1 + l_quantity), 6) AS width FROM lineitem")
+@query("edge_widths", "SELECT 'o' || l_orderkey AS source, 'p' || l_partkey AS target, 'contains' AS type, round(1 + 2 * ln(1 + l_quantity), 6) AS width FROM lineitem")
 def _(spark, d):
     g = star(spark, d, ("Order", "Part"), ("contains",))
-    e = g.relationships.withColumn("props", F.create_map(F.lit("weight"), F.col("props")["quantity"]))
-    r = e.select(F.split("rel_id", "/").alias("k"), (1 + 2 * F.log1p(V.number_of(F.col("props")["weight"]))).alias("w"))
-    return r.select(F.col("k")[1].cast("bigint").alias("l_orderkey"), F.col("k")[2].cast("int").alias("l_linenumber"), F.round("w", 6).alias("width"))
+    weighted = PropertyGraph(g.entities, g.relationships.withColumn("props", F.create_map(F.lit("weight"), F.col("props")["quantity"])))
+    return presentation.edge_payload(weighted).withColumn("width", F.round("width", 6))
 
 
 @query("node_sizes", f"WITH {STAR}, d AS (SELECT e.id, e.types[1] AS t, count(n.nbr) AS g FROM e LEFT JOIN n ON e.id = n.id WHERE e.id[1] IN ('n', 'r') AND (n.nbr IS NULL OR n.nbr[1] IN ('n', 'r')) GROUP BY 1, 2) SELECT id, t AS type, round(3 + 17 * sqrt(g / CAST((SELECT max(g) FROM d) AS DOUBLE)), 6) AS size FROM d")
@@ -725,10 +725,11 @@ def _(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from strandweave import source_queries  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
-
-

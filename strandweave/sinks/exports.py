@@ -1,6 +1,7 @@
 """CSV, GraphML, text and Parquet output.
 
-Each is a folder of part files in the graph's order, so writing stays distributed.
+CSV, text and Parquet are folders of part files in the graph's order, so writing stays
+distributed; a GraphML document is written as parts too, which are then put together.
 """
 
 from __future__ import annotations
@@ -85,8 +86,10 @@ def graphml_lines(g: PropertyGraph) -> DataFrame:
 
 
 def write_graphml(g: PropertyGraph, path: str, overwrite: bool = False) -> None:
-    """One document, cut into part files that add up to it in the order of their names."""
-    graphml_lines(g).orderBy("part", "ord").select("value").write.mode(_mode(overwrite)).text(path)
+    """One document in one file."""
+    from strandweave.plans.files import single_file
+
+    single_file(graphml_lines(g).orderBy("part", "ord").select("value"), path, overwrite)
 
 
 def write_text(g: PropertyGraph, path: str, overwrite: bool = False, separator: str = "\n\n", headers: bool = True, source_kind: str = "all", **options) -> None:

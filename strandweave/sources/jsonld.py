@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.functions import variants as V
-from strandweave.model import EDGE_COLUMNS, PropertyGraph, checked, last_wins
+from strandweave.model import EDGE_COLUMNS, PropertyGraph, checked, last_wins, note
+from strandweave.plans.numbering import numbered
 
 DOCUMENT = "ro-crate-metadata.json"
 #: Keys that are no properties.
@@ -70,9 +71,13 @@ def read(spark: SparkSession, path: str, *, inline_relations: bool | list[str] =
         raise TypeError("inline_relations is a boolean or a list of names")
     file = path if path.endswith(".json") else f"{path.rstrip('/')}/{DOCUMENT}"
     folder = file.rpartition("/")[0]
-    items = read_documents(spark, [file]).select("ord", "item", F.try_variant_get("item", "$['@id']", "string").alias("raw_id")).where("raw_id IS NOT NULL")
+    found = read_documents(spark, [file]).select("ord", "item", F.try_variant_get("item", "$['@id']", "string").alias("raw_id"))
+    items = found.where("raw_id IS NOT NULL")
     types, reified = _types(F.try_variant_get("item", "$['@type']", "variant"))
     items = items.select("ord", "item", "raw_id", decoded(F.col("raw_id")).alias("id"), types.alias("types"), F.coalesce(reified, F.lit(False)).alias("reified")).cache()
+    nameless = found.where("raw_id IS NULL").count()
+    if nameless:
+        note(f"{nameless} items without an id are left out")
     descriptor = items.where(F.col("raw_id") == DOCUMENT).select(F.to_json(F.try_variant_get("item", "$.about", "variant"))).first()
     root_id = _root_id(descriptor[0] if descriptor else None)
     root_item = items.where(F.col("id") == root_id).select(F.to_json("item")).first()
@@ -83,7 +88,8 @@ def read(spark: SparkSession, path: str, *, inline_relations: bool | list[str] =
     props = F.transform_values(F.map_filter(fields, lambda k, _: ~k.isin(*_OWN)), lambda _, v: _plain(v))
     entities = items.where(~F.col("reified")).withColumn("f", props).select("id", "ord", "types", marked.alias("props"), F.lit(folder).alias("source"))
     entities = last_wins(entities)
-    edges = _inline(items, inline_relations, entities).unionByName(_reified(items))
+    # numbered by item, property and place in its list, none of which has a bound
+    edges = numbered(_inline(items, inline_relations, entities).unionByName(_reified(items)), "item", "place", "element", name="ord").select(*EDGE_COLUMNS)
     if not include_root:
         entities = entities.where(F.col("id") != root_id)
     edges, _ = checked(entities, edges)
@@ -110,9 +116,9 @@ def _inline(items: DataFrame, inline_relations, entities: DataFrame) -> DataFram
     elif inline_relations is not True:
         pairs = pairs.where(F.col("type").isin(inline_relations))
     refs = pairs.select("ord", "src", "type", "p", F.posexplode(V.elements(F.col("v"))).alias("i", "x"))
-    refs = refs.select((F.col("ord").cast("bigint") * (1 << 32) + F.col("p") * (1 << 16) + F.col("i")).alias("ord"), "src", decoded(_target(F.col("x"))).alias("dst"), "type").where("dst IS NOT NULL")
+    refs = refs.select(F.col("ord").alias("item"), F.col("p").alias("place"), F.col("i").alias("element"), "src", decoded(_target(F.col("x"))).alias("dst"), "type").where("dst IS NOT NULL")
     known = refs.join(entities.select(F.col("id").alias("dst")), "dst", "left_semi")
-    return known.select("ord", "src", "dst", "type", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>")).alias("props"), F.lit(None).cast("string").alias("rel_id"))
+    return known.select("item", "place", "element", "src", "dst", "type", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>")).alias("props"), F.lit(None).cast("string").alias("rel_id"))
 
 
 def _reified(items: DataFrame) -> DataFrame:
@@ -120,8 +126,11 @@ def _reified(items: DataFrame) -> DataFrame:
     end = lambda k: F.coalesce(_target(F.try_variant_get("item", f"$.{k}", "variant")), F.when(V.kind(F.try_variant_get("item", f"$.{k}", "variant")) == "STRING", F.try_variant_get("item", f"$.{k}", "string")))
     fields = F.from_json(F.to_json("item"), "map<string,variant>")
     props = F.transform_values(F.map_filter(fields, lambda k, _: ~k.isin(*_OWN, *_ENDS)), lambda _, v: _plain(v))
-    own = items.where("reified").select((F.col("ord").cast("bigint") * (1 << 32)).alias("ord"), decoded(end("source")).alias("src"), decoded(end("target")).alias("dst"), F.array_join("types", ", ").alias("type"), props.alias("props"), F.col("raw_id").alias("rel_id"))
-    return own.where("src IS NOT NULL AND dst IS NOT NULL").select(*EDGE_COLUMNS)
+    own = items.where("reified").select(F.col("ord").alias("item"), F.lit(0).alias("place"), F.lit(0).alias("element"), decoded(end("source")).alias("src"), decoded(end("target")).alias("dst"), F.array_join("types", ", ").alias("type"), props.alias("props"), F.col("raw_id").alias("rel_id"))
+    lost = own.where("src IS NULL OR dst IS NULL").count()
+    if lost:
+        note(f"{lost} relationship items lack an end and are left out")
+    return own.where("src IS NOT NULL AND dst IS NOT NULL")
 
 
 def union(graphs: dict[str, PropertyGraph]) -> PropertyGraph:

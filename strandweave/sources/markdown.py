@@ -87,16 +87,24 @@ def resolve(href: str, document: str) -> str | None:
 
 def is_bundle(spark: SparkSession, path: str, names: list[str]) -> bool:
     """Whether all documents at the top of a folder have a front matter with a type."""
-    own = [n for n in names if n.lower().endswith(".md") and n.lower() not in RESERVED]
-    for n in own:
-        text = "\n".join(r[0] for r in spark.read.text(f"{path.rstrip('/')}/{n}", wholetext=True).collect())
-        try:
-            kind = split_front_matter(text)[0].get("type")
-        except ValueError:
-            return False
-        if not isinstance(kind, str) or not kind.strip():
-            return False
-    return bool(own)
+    base = path.rstrip("/")
+    own = [f"{base}/{n}" for n in names if n.lower().endswith(".md") and n.lower() not in RESERVED]
+    if not own:
+        return False
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_has_type(t or "") for t in b.column(0).to_pylist()], pa.bool_())], names=["concept"])
+
+    return spark.read.text(own, wholetext=True).mapInArrow(run, "concept boolean").where("NOT concept").isEmpty()
+
+
+def _has_type(text: str) -> bool:
+    try:
+        kind = split_front_matter(text)[0].get("type")
+    except ValueError:
+        return False
+    return isinstance(kind, str) and bool(kind.strip())
 
 
 def _json(value) -> str:
