@@ -193,6 +193,18 @@ def _(spark, d):
     return graph_rows(sources.read(spark, folder))
 
 
+@query("read_rdf_xml", _RDF_SQL)
+def _(spark, d):
+    folder = _folder(spark, "rdfxml")
+    s, n = _table(spark, d, "supplier"), _table(spark, d, "nation")
+    nations = n.select(F.format_string('<ex:Nation rdf:about="n%d" rdfs:label="%s"><ex:in rdf:resource="r%d"/></ex:Nation>', "n_nationkey", "n_name", "n_regionkey").alias("value"))
+    suppliers = s.select(F.format_string('<rdf:Description rdf:about="s%d"><rdfs:label xml:lang="en">%s</rdfs:label><ex:at><rdf:Description rdf:about="n%d"/></ex:at></rdf:Description>', "s_suppkey", "s_name", "s_nationkey").alias("value"))
+    head = spark.createDataFrame([(f'<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xmlns:ex="{_RDF}" xml:base="{_RDF}">',)], "value string")
+    parts = [head, nations.unionAll(suppliers), spark.createDataFrame([("</rdf:RDF>",)], "value string")]
+    single_file(_union([x.withColumn("o", F.lit(i)) for i, x in enumerate(parts)]).orderBy("o").select("value"), f"{folder}/places.rdf")
+    return graph_rows(sources.read(spark, folder))
+
+
 _MARKDOWN_SQL = """SELECT 'entity' AS kind, 'regions/r' || r_regionkey AS a, '' AS b, 'Region' AS type FROM region UNION ALL SELECT 'entity', 'n' || n_nationkey, '', 'Nation' FROM nation
 UNION ALL SELECT 'relationship', 'n' || n_nationkey, 'regions/r' || n_regionkey, 'linksTo' FROM nation UNION ALL SELECT 'relationship', 'regions/r' || n_regionkey, 'n' || n_nationkey, 'linksTo' FROM nation"""
 

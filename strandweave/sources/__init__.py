@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from strandweave.model import PropertyGraph
 
-_RDF = (".nt", ".ttl", ".turtle")
+_RDF = (".nt", ".ttl", ".turtle", ".rdf", ".owl")
 
 
 def _names(spark: SparkSession, path: str) -> list[str]:

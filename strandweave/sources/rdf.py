@@ -1,19 +1,20 @@
 """RDF files: triples become entities, their literals properties, links relationships.
 
-N-Triples are read line by line by expressions.  Turtle is parsed by file, in batches on
-the executors, into the same triples.  Subjects are in sorted order.
+N-Triples are read line by line by expressions.  Turtle and RDF/XML are parsed by file, in
+batches on the executors, into the same triples.  Subjects are in sorted order.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.model import PropertyGraph, no_props, note
-from strandweave.sources import _names
+from strandweave.sources import _names, rdfxml
 
 # Vocabulary terms.
 TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
@@ -156,13 +157,13 @@ def parse_turtle(text: str, scope: str = "b") -> tuple[list[tuple], dict[str, st
     return triples, prefixes
 
 
-def read_turtle(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, dict[str, str]]:
-    """Triples of Turtle files, and their prefixes."""
+def read_parsed(spark: SparkSession, paths: list[str], parse=parse_turtle) -> tuple[DataFrame, dict[str, str]]:
+    """Triples of files that are parsed whole, and their prefixes."""
 
     def run(batches):
         for b in batches:
             for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found, prefixes = parse_turtle(text, re.sub(r"\W", "", path.rpartition("/")[2]))
+                found, prefixes = parse(text, re.sub(r"\W", "", path.rpartition("/")[2]))
                 rows = found + [(None, k, v, "prefix", None, None) for k, v in prefixes.items()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(6)], names=["s", "p", "o", "kind", "lang", "datatype"])
 
@@ -236,9 +237,11 @@ def read(spark: SparkSession, path: str, **options) -> PropertyGraph:
     parts = []
     if lines:
         parts.append(read_ntriples(spark, lines))
-    if turtle:
-        rows, prefixes = read_turtle(spark, turtle)
-        parts.append(rows)
+    for chosen, parse in ((turtle, parse_turtle), ([f for f in files if f.lower().endswith((".rdf", ".owl"))], rdfxml.parse)):
+        if chosen:
+            rows, found = read_parsed(spark, chosen, parse)
+            prefixes = found | prefixes
+            parts.append(rows)
     if not parts:
-        raise ValueError(f"no N-Triples or Turtle file at {path}")
-    return build(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), prefixes, path, **options)
+        raise ValueError(f"no N-Triples, Turtle or RDF/XML file at {path}")
+    return build(reduce(DataFrame.unionByName, parts), prefixes, path, **options)

@@ -10,7 +10,7 @@ from strandweave import sinks, sources
 from strandweave.functions import variants as V
 from strandweave.model import PropertyGraph
 from strandweave.operators import presentation, semantic, text
-from strandweave.sources import jsonld, markdown, rdf, sqldump, tabular
+from strandweave.sources import jsonld, markdown, rdf, rdfxml, sqldump, tabular
 from strandweave.streaming import incremental
 from tests.test_graph import edge_set, graph, ids
 
@@ -115,6 +115,30 @@ def test_rdf(spark, tmp_path):
     assert base + "gone" in ids(stubs)
 
 
+RDF_XML = """<?xml version="1.0"?>
+<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:ex="http://example.org/" xml:base="http://example.org/doc">
+<ex:Person rdf:about="http://example.org/a" ex:nick="An"><ex:age rdf:datatype="http://www.w3.org/2001/XMLSchema#integer">41</ex:age><ex:knows rdf:resource="#b"/><ex:at rdf:parseType="Resource"><ex:city xml:lang="de">Wien</ex:city></ex:at></ex:Person>
+<rdf:Description rdf:ID="b"><ex:list rdf:parseType="Collection"><rdf:Description rdf:nodeID="x"/></ex:list><ex:raw rdf:parseType="Literal"><i>q</i></ex:raw></rdf:Description>
+<rdf:Seq rdf:nodeID="x"><rdf:li>one</rdf:li><rdf:li rdf:resource="http://example.org/a"/></rdf:Seq>
+</rdf:RDF>"""
+
+
+def test_rdf_xml():
+    triples, prefixes = rdfxml.parse(RDF_XML, "f")
+    ex, r = "http://example.org/", rdfxml.RDF
+    blank = lambda p: next(t[2] for t in triples if t[1] == p)
+    city, cell = blank(ex + "at"), blank(ex + "list")
+    want = {
+        (ex + "a", r + "type", ex + "Person", "uri", None, None), (ex + "a", ex + "nick", "An", "literal", None, None), (ex + "a", ex + "age", "41", "literal", None, "http://www.w3.org/2001/XMLSchema#integer"),
+        (ex + "a", ex + "knows", ex + "doc#b", "uri", None, None), (ex + "a", ex + "at", city, "blank", None, None), (city, ex + "city", "Wien", "literal", "de", None),
+        (ex + "doc#b", ex + "list", cell, "blank", None, None), (cell, r + "first", "_:fnx", "blank", None, None), (cell, r + "rest", r + "nil", "uri", None, None), (ex + "doc#b", ex + "raw", "<i>q</i>", "literal", None, r + "XMLLiteral"),
+        ("_:fnx", r + "type", r + "Seq", "uri", None, None), ("_:fnx", r + "_1", "one", "literal", None, None), ("_:fnx", r + "_2", ex + "a", "uri", None, None),
+    }
+    assert set(triples) == want and prefixes["ex"] == ex
+    with pytest.raises(ValueError, match="RDF/XML"):
+        rdfxml.parse("<a>")
+
+
 def test_markdown(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "index.md").write_text("---\ntitle: Bundle\n---\nhello\n")
