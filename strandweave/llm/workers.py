@@ -5,7 +5,8 @@ from __future__ import annotations
 import ctypes
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch, where the session names no bound of its own.
 BATCH_BYTES = 4 << 20
@@ -18,6 +19,16 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_SETTING, str(BATCH_BYTES))
 
 
+def named(column: str) -> Column:
+    """A column by its exact name, points and quotes included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def packed_row(docs: DataFrame, name: str = "row") -> Column:
+    """All columns as one struct, so that no name clashes with a helper column; ``row.*`` gives them back."""
+    return F.struct(*map(named, docs.columns)).alias(name)
+
+
 def release() -> None:
     """Gives memory that is no longer used back to the system."""
     pa.default_memory_pool().release_unused()
