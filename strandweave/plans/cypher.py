@@ -1,8 +1,9 @@
 """A subset of Cypher, planned as joins.
 
 ``MATCH`` patterns of nodes and edges in both directions, typed or not, with property
-maps; ``WHERE`` with comparisons, ``CONTAINS``, ``STARTS WITH``, ``ENDS WITH``, ``IN``,
-``IS [NOT] NULL``, AND, OR, NOT; ``RETURN`` of nodes, properties and ``ID(x)``.  The result
+maps and lengths as ``*1..3``, whose longest must be given; ``WHERE`` with comparisons, ``CONTAINS``, ``STARTS WITH``, ``ENDS WITH``, ``IN``,
+``IS [NOT] NULL``, AND, OR, NOT; ``RETURN`` of nodes, properties and ``ID(x)``; ``ORDER BY``
+properties or ids, ``SKIP`` and ``LIMIT``.  The result
 is the graph induced by the nodes returned.  Patterns alone return all their variables.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +41,8 @@ class Edge:
     types: list[str] = field(default_factory=list)
     props: dict = field(default_factory=dict)
     direction: str = "out"
+    #: Fewest and most steps, for a path of variable length.
+    hops: tuple[int, int] | None = None
 
 
 def with_return(text: str) -> str:
@@ -136,7 +140,7 @@ class Parser:
         back = self.take("<-")
         if not back:
             self.need("-")
-        var, types, props = self.fresh(), [], {}
+        var, types, props, hops = self.fresh(), [], {}, None
         if self.take("["):
             if self.tokens[self.at][0] == "name":
                 var = self.name()
@@ -145,16 +149,30 @@ class Parser:
                 while self.take("|"):
                     self.take(":")
                     types.append(self.name())
-            if self.peek("*"):
-                raise CypherError("paths of variable length are not supported; use expand")
+            hops = self.hops()
             props = self.props()
             self.need("]")
         if self.take("->"):
             if back:
                 raise CypherError("an edge can't point both ways")
-            return Edge(var, types, props, "out")
+            return Edge(var, types, props, "out", hops)
         self.need("-")
-        return Edge(var, types, props, "in" if back else "any")
+        return Edge(var, types, props, "in" if back else "any", hops)
+
+    def hops(self) -> tuple[int, int] | None:
+        """``*n``, ``*m..n`` or ``*..n``."""
+        if not self.take("*"):
+            return None
+        number = lambda: self.literal() if self.tokens[self.at][0] == "number" else None
+        low = number()
+        if not self.take("."):
+            high = low
+        else:
+            self.need(".")
+            low, high = 1 if low is None else low, number()
+        if not isinstance(low, int) or not isinstance(high, int) or low > high:
+            raise CypherError("a path of variable length needs its longest length, as in *1..3; expand walks further")
+        return low, high
 
     def path(self):
         nodes, edges = [self.node()], []
@@ -176,12 +194,18 @@ class Parser:
         items = [self.item()]
         while self.take(","):
             items.append(self.item())
-        limit = None
+        order, skip, limit = [], None, None
+        if self.take("ORDER"):
+            self.need("BY")
+            while not order or self.take(","):
+                order.append((self.item(), self.take("DESC", "DESCENDING") or (self.take("ASC", "ASCENDING") and False)))
+        if self.take("SKIP"):
+            skip = self.literal()
         if self.take("LIMIT"):
             limit = self.literal()
         if self.at < len(self.tokens):
             raise CypherError(f"unexpected {self.tokens[self.at][1]} at the end")
-        return paths, condition, items, distinct, limit
+        return paths, condition, items, distinct, order, skip, limit
 
     def item(self):
         if self.take("ID"):
@@ -258,6 +282,31 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]) -> D
     return left.join(right, condition)
 
 
+def _unused(seen: list[str], ord_: Column) -> Column:
+    """Whether an edge takes no part in the match so far."""
+    out = F.lit(True)
+    for other in seen:
+        out = out & (~F.array_contains(_column(other), ord_) if other.endswith(".ords") else _column(other) != ord_)
+    return out
+
+
+def _walked(rows: DataFrame, e: DataFrame, start: str, edge: Edge, seen: list[str]) -> DataFrame:
+    """Rows with the end ``_to`` of each path of the edge's lengths, and the path's edges; each edge occurs once."""
+    out = e.select(F.col("src").alias("_from"), F.col("dst").alias("_next"), F.col("ord").alias("_ord"))
+    turned = e.select(F.col("dst").alias("_from"), F.col("src").alias("_next"), F.col("ord").alias("_ord"))
+    sides = out if edge.direction == "out" else turned if edge.direction == "in" else out.unionAll(turned.where("_from <> _next"))
+    ords = f"{edge.var}.ords"
+    front = rows.withColumn("_to", _column(start)).withColumn(ords, F.array().cast("array<bigint>"))
+    low, high = edge.hops
+    found = [front] if low == 0 else []
+    for step in range(1, high + 1):
+        joined = front.join(sides, F.col("_to") == F.col("_from")).where(_unused([*seen, ords], F.col("_ord")))
+        front = joined.withColumn("_to", F.col("_next")).withColumn(ords, F.array_append(_column(ords), F.col("_ord"))).drop("_from", "_next", "_ord")
+        if step >= low:
+            found.append(front)
+    return reduce(DataFrame.unionByName, found)
+
+
 def match(g: PropertyGraph, paths) -> DataFrame:
     """A row for each match, with ``<var>.id`` and ``<var>.props`` for each node and edge.
 
@@ -283,13 +332,19 @@ def match(g: PropertyGraph, paths) -> DataFrame:
             for key, value in edge.props.items():
                 e = e.where(V.any_equals(F.col("props")[key], [value]))
             name = edge.var
+            if edge.hops is not None:
+                rows = _walked(rows, e, f"{at.var}.id", edge, edges_seen)
+                edges_seen.append(f"{name}.ords")
+                rows = rows.where(F.col("_to") == _column(f"{node.var}.id")).drop("_to") if node.var in bound else _joined(rows, _bind(g, node), [("_to", f"{node.var}.id")]).drop("_to")
+                bound.add(node.var)
+                at = node
+                continue
             out = e.select(F.col("src").alias("_from"), F.col("dst").alias("_to"), F.col("ord").alias(f"{name}.ord"), F.col("props").alias(f"{name}.props"))
             turned = e.select(F.col("dst").alias("_from"), F.col("src").alias("_to"), F.col("ord").alias(f"{name}.ord"), F.col("props").alias(f"{name}.props"))
             sides = out if edge.direction == "out" else turned if edge.direction == "in" else out.unionAll(turned.where("_from <> _to"))
             rows = _joined(rows, sides, [(f"{at.var}.id", "_from")]).drop("_from")
-            for other in edges_seen:
-                rows = rows.where(_column(f"{other}.ord") != _column(f"{name}.ord"))
-            edges_seen.append(name)
+            rows = rows.where(_unused(edges_seen, _column(f"{name}.ord")))
+            edges_seen.append(f"{name}.ord")
             if node.var in bound:
                 rows = rows.where(F.col("_to") == _column(f"{node.var}.id")).drop("_to")
             else:
@@ -342,14 +397,21 @@ def condition(tree) -> Column:
 
 def matched_rows(g: PropertyGraph, text: str) -> tuple[DataFrame, list]:
     """The matches of a query and what it returns."""
-    paths, where, items, _, limit = Parser(with_return(text)).query()
+    paths, where, items, _, order, skip, limit = Parser(with_return(text)).query()
     rows = match(g, paths)
     if where is not None:
         rows = rows.where(condition(where))
     known = {n.var for nodes, _ in paths for n in nodes}
-    for item in items:
+    for item in [*items, *(x for x, _ in order)]:
         if item[1] not in known:
             raise CypherError(f"{item[1]!r} is not bound to a node")
+    keys = []
+    for item, down in order:
+        kind, v = _operand(item)
+        for c in (V.number_of(v), V.text_of(v)) if kind == "variant" else (v,):
+            keys.append(c.desc_nulls_last() if down else c.asc_nulls_last())
+    rows = rows.orderBy(*keys) if keys else rows
+    rows = rows.offset(skip) if skip is not None else rows
     return (rows.limit(limit) if limit is not None else rows), items
 
 

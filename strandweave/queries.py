@@ -215,6 +215,19 @@ def _(spark, d):
     return graph_rows(star(spark, d).query("MATCH (o:Order)-[:placedBy]->(c:Customer)-[:inNation]->(n) WHERE c.acctbal > 9000 AND o.priority = '1-URGENT' AND c.segment STARTS WITH 'B' RETURN o, n"))
 
 
+@query(
+    "cypher_variable_length",
+    induced("SELECT id FROM m", "m AS MATERIALIZED (SELECT unnest(['c' || c_custkey, 'n' || c_nationkey, 'r' || n_regionkey]) AS id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'),\n"),
+)
+def _(spark, d):
+    return graph_rows(star(spark, d).query("MATCH (c:BUILDING)-[:inNation|inRegion*1..2]->(x) RETURN c, x"))
+
+
+@query("cypher_order_limit", induced("SELECT 's' || s_suppkey AS id FROM (SELECT s_suppkey FROM supplier ORDER BY s_acctbal DESC, s_name LIMIT 5 OFFSET 3)"))
+def _(spark, d):
+    return graph_rows(star(spark, d).query("MATCH (s:Supplier) RETURN s ORDER BY s.acctbal DESC, s.name SKIP 3 LIMIT 5"))
+
+
 # -- degrees, joins, counts ------------------------------------------------------
 
 

@@ -85,6 +85,15 @@ def test_expand_and_pattern(people):
     assert edge_set(people.pattern(via="knows")) == {("a", "b", "knows"), ("b", "a", "knows"), ("a", "a", "cites")}
 
 
+def test_paths_of_variable_length(spark):
+    g = graph(spark, [(x, ["N"], {}) for x in "abcd"], [("a", "b", "to", {}, None), ("b", "c", "to", {}, None), ("c", "a", "to", {}, None), ("c", "d", "to", {}, None)])
+    ends = lambda pattern: {r["`y.id`"] if "`y.id`" in r else r["y.id"] for r in cypher.matched_rows(g.induce(g.entities), f"MATCH (x)-[:to{pattern}]->(y) WHERE ID(x) = 'a' RETURN y")[0].collect()}
+    assert ends("*1..1") == {"b"} and ends("*2") == {"c"} and ends("*0..2") == {"a", "b", "c"}
+    # each edge once, so that the circle is not walked again
+    assert ends("*..9") == {"a", "b", "c", "d"} and ends("*4..9") == set()
+    assert {r["y.id"] for r in cypher.matched_rows(g, "MATCH (x)-[:to*2]-(y) WHERE ID(x) = 'd' RETURN y")[0].collect()} == {"a", "b"}
+
+
 def test_cypher(people):
     assert ids(people.query("(a:Person)-[:author]->(b)")) == {"a", "p"}
     assert ids(people.query("(b)<-[:author|reviewer]-(a)")) == {"a", "b", "p"}
@@ -93,7 +102,9 @@ def test_cypher(people):
     assert ids(people.query("MATCH (a:Person {age: 30}) RETURN ID(a)")) == {"a"}
     assert ids(people.query("MATCH (a) WHERE NOT a.name IS NULL AND (a.name CONTAINS 'nn' OR a.age > 40) RETURN a")) == {"a", "b"}
     assert ids(people.query("(a:Ghost)-[:author]->(b)")) == set()
-    for bad in ("MATCH (a)", "MATCH (a)-[:x*2]->(b) RETURN a", "MATCH (a RETURN a", "MATCH (a) RETURN b", "MATCH (a) RETURN a.name"):
+    assert ids(people.query("MATCH (a:Person) RETURN a ORDER BY a.age DESC LIMIT 1")) != ids(people.query("MATCH (a:Person) RETURN a ORDER BY a.age LIMIT 1"))
+    assert ids(people.query("MATCH (a:Person) RETURN a ORDER BY a.age SKIP 5")) == set()
+    for bad in ("MATCH (a)", "MATCH (a)-[:x*]->(b) RETURN a", "MATCH (a)-[:x*3..1]->(b) RETURN a", "MATCH (a)-[:x*2..]->(b) RETURN a", "MATCH (a) RETURN a ORDER BY c.age", "MATCH (a RETURN a", "MATCH (a) RETURN b", "MATCH (a) RETURN a.name"):
         with pytest.raises(cypher.CypherError):
             people.query(bad)
 
