@@ -8,6 +8,9 @@ reads, and each record is cut out of them and parsed.
 Files are named by task and attempt, and the index only has rows of finished tasks, so a
 task that is run again leaves no record twice.
 
+Memory: one record, or one joined range of at most ``READ`` bytes and one record more, and an
+Arrow batch of the rows; a very long payload is a record like any other.
+
 Defined cases: a null payload is an empty one; a null URL has no header; of equal
 payloads the record with the smallest ``page_id`` is the response, every row with that id
 if it repeats; a null id refers to the smallest other id of its payload, and is a response
@@ -36,7 +39,14 @@ INDEX = "page_id bigint, file string, offset bigint, length bigint, url string,
 ROLL_BYTES = 1 << 30
 #: Ranges this near are read together, up to so many bytes at once.
 GAP, READ = 1 << 16, 1 << 23
-SEGMENT = 1 << 26
+#: Bytes of a file that one task reads.
+SEGMENT = 1 << 25
+
+
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder's URI and the path there; object stores have other names in Spark."""
+    scheme, mark, rest = folder.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if mark and scheme in ("s3a", "s3n") else folder)
 
 
 def payload_digest(payload: bytes) -> str:
@@ -94,7 +104,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """
 
     def run(batches):
-        store, path = fs.FileSystem.from_uri(folder)
+        store, path = _store(folder)
         store.create_dir(path, recursive=True)
         stem = f"{path}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         sink, part, at = None, 0, 0
@@ -143,7 +153,7 @@ def read_records(index: DataFrame, folder: str, *, payload: bool = True) -> Data
     schema = pa.schema(fields)
 
     def run(batches):
-        store, path = fs.FileSystem.from_uri(folder)
+        store, path = _store(folder)
         name, source = None, None
         for b in batches:
             places = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -160,7 +170,10 @@ def read_records(index: DataFrame, folder: str, *, payload: bool = True) -> Data
         if source is not None:
             source.close()
 
-    places = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / SEGMENT)).sortWithinPartitions("file", "offset")
+    # as many tasks as there are segments of bytes to read, however small the index's own rows are
+    total = index.agg(F.sum("length")).first()[0] or 0
+    segment = F.floor(F.col("offset") / SEGMENT)
+    places = index.select("file", "offset", "length").repartition(max(1, -(-total // SEGMENT)), "file", segment).sortWithinPartitions("file", "offset")
     return places.mapInArrow(tidied(run), "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * payload)
 
 
