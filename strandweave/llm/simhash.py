@@ -16,6 +16,9 @@ equal fingerprints are one member, so that each round parts a bucket.  Where lin
 are checked on the texts, the members that the radius connects are kept as clusters too, and
 the pairs in them that the checks left in different components are compared.
 
+Memory: a text's shingles are hashed ``BLOCK`` at a time, so a very long text costs the list
+of its words; of near copies, the hashes of its distinct shingles.
+
 Defined cases: a null or wordless text has fingerprint zero and is linked like any other;
 fewer words than a shingle form one shingle; rows that repeat give the same result each;
 a null ``doc_id`` never is the smallest of a component (a component of null ids only has
@@ -24,24 +27,28 @@ a null id); an empty table gives no rows; columns beside those named are not rea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.operators.components import connected_components
 from strandweave.plans.workspace import Workspace
-from strandweave.llm.workers import bounded_batches, tidied
+from strandweave.llm.words import Words, gram_hashes, mix, together
+from strandweave.llm.workers import bounded_batches, packed_row, tidied
 
 BITS = 64
 RUN_LIMIT = 4096
+#: SimHashes of a text and differing bits in which near copies are sought: a pair of similarity 0.8
+#: is about 4.4 bits apart in one of them, so all six miss about one pair in a hundred.
+SKETCHES, RADIUS = 6, 4
 #: Texts a side that a task compares at a time.
 UNIT = 256
-#: Shingles hashed at a time, which bounds the memory for one very long text.
+#: Shingles hashed at a time.
 BLOCK = 1 << 15
 
 
@@ -62,39 +69,69 @@ def shingles(words: list[bytes], width: int) -> Iterator[bytes]:
     """Each run of ``width`` words joined by a space; all words if there are fewer."""
     if len(words) <= width:
         return iter([b" ".join(words)] if words else [])
-    return map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+    return map(b" ".join, zip(*(islice(words, i, None) for i in range(width)), strict=False))
+
+
+def _hashes(features, seed: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, features, repeat(seed)), np.uint64)
+
+
+def _hash_blocks(features: Iterator[bytes], seed: int) -> Iterator[np.ndarray]:
+    """The features' hashes, ``BLOCK`` at a time."""
+    while len(block := _hashes(islice(features, BLOCK), seed)):
+        yield block
 
 
-def _hashes(features: list[bytes], seed: int) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, features, repeat(seed)), np.uint64, len(features))
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set; hashes: a row each, in whole words."""
+    bits = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little")
+    # sums of 255 rows fit in a byte
+    parts = [np.add.reduce(bits[at : at + 255], axis=0, dtype=np.uint8) for at in range(0, len(bits), 255)]
+    return np.array(parts, np.uint8).reshape(-1, bits.shape[1]).sum(axis=0, dtype=np.int64)
 
 
-def majority(hashes: np.ndarray) -> int:
+def majority(blocks: Iterable[np.ndarray]) -> int:
     """The bits that over half of the hashes have set."""
-    if not len(hashes):
-        return 0
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), BLOCK):
-        part = np.ascontiguousarray(hashes[at : at + BLOCK])
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    ones, n = np.zeros(BITS, np.int64), 0
+    for block in blocks:
+        ones += _ones(block)
+        n += len(block)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0]) if n else 0
 
 
 def shingle_print(text: str | None, width: int, seed: int = 42) -> int:
     """SimHash over word shingles, repeats included."""
-    return majority(_hashes(list(shingles(text_words(text), width)), seed))
+    return majority(_hash_blocks(shingles(text_words(text), width), seed))
 
 
-def word_prints(text: str | None, count: int) -> list[int]:
-    """``count`` independent SimHashes over a text's distinct longer words.
+def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
+    """The distinct hashes of each text's word shingles, sorted; all words are one shingle if there are fewer."""
+    w = Words(texts, lower=True, ascii_only=True)
+    grams = gram_hashes(w.hashes, width)
+    out = []
+    for a, b in zip(w.first, w.first[1:], strict=False):
+        own = grams[a : b - width + 1] if b - a >= width else gram_hashes(w.hashes[a:b], b - a) if b > a else grams[:0]
+        out.append(np.unique(own))
+    return out
 
-    Words of five bytes or more, as common short words would make all texts alike; all
+
+def word_prints(texts: list[str], count: int) -> list[int]:
+    """``count`` independent SimHashes over the distinct longer words of each text.
+
+    Words of five characters or more, as common short words would make all texts alike; all
     words where there is none that long.
     """
-    words = set(text_words(text))
-    chosen = sorted(w for w in words if len(w) >= 5) or sorted(words)
-    base = _hashes(chosen, 42)
-    return [majority(_mix(base + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))) for k in range(count)]
+    w = Words(texts, lower=True, ascii_only=True)
+    long_, salts = w.stop - w.start >= 5, np.array([(k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for k in range(count)], np.uint64)
+    out = []
+    for a, b in zip(w.first, w.first[1:], strict=False):
+        own = w.hashes[a:b]
+        chosen = np.unique(own[long_[a:b]] if long_[a:b].any() else own)
+        ones = np.zeros(BITS * count, np.int64)
+        for at in range(0, len(chosen), BLOCK):
+            ones += _ones(mix(chosen[at : at + BLOCK, None] + salts))
+        out += np.packbits(ones * 2 > len(chosen), bitorder="little").view(np.uint64).tolist()
+    return out
 
 
 def _signed(values) -> np.ndarray:
@@ -110,7 +147,7 @@ def with_prints(docs: DataFrame, keep: list[str], width: int | None, sketches: i
             if width is not None:
                 flat = [shingle_print(t.as_py(), width) for t in texts]
             else:
-                flat = [p for t in texts for p in word_prints(t.as_py(), sketches)]
+                flat = [p for some in together(t or "" for t in texts.to_pylist()) for p in word_prints(some, sketches)]
             offsets = pa.array(np.arange(0, len(flat) + 1, sketches, dtype=np.int32))
             prints = pa.ListArray.from_arrays(offsets, pa.array(_signed(flat)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], prints], names=[*keep, "prints"])
@@ -121,17 +158,13 @@ def with_prints(docs: DataFrame, keep: list[str], width: int | None, sketches: i
     return rows.mapInArrow(tidied(run), f"{fields}, prints array<bigint>")
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scramble of 64-bit words."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def node_ids(prints: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """What names a fingerprint of a sketch: itself for the first sketch, salted for the others."""
+    return prints ^ np.where(sketch == 0, np.uint64(0), mix(np.asarray(sketch, np.uint64)))
 
 
 def _entries(nodes: DataFrame, masks: list[int]) -> DataFrame:
-    """``(key, print, id)`` for each table and node; nodes: ``(id, print, sketch)``.
+    """``(key, print, sketch)`` for each table and node; nodes: ``(print, sketch)``.
 
     A key hashes the sketch, the table's number and the masked bits.  Two buckets that share
     a key only give more candidates, as links are decided on the fingerprints themselves.
@@ -140,13 +173,13 @@ def _entries(nodes: DataFrame, masks: list[int]) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ids, prints, sketch = b.column(0), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64), b.column(2).to_numpy(zero_copy_only=False)
+            prints, sketch = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(1).to_numpy(zero_copy_only=False)
             for t, mask in enumerate(table):
-                salt = _mix((sketch * len(table) + t + 1).astype(np.uint64))
-                keys = _mix((prints & mask) ^ salt)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(1), ids], names=["key", "print", "id"])
+                salt = mix((sketch.astype(np.int64) * len(table) + t + 1).astype(np.uint64))
+                keys = mix((prints & mask) ^ salt)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *b.columns], names=["key", "print", "sketch"])
 
-    return nodes.select("id", "print", F.col("sketch").cast("bigint")).mapInArrow(tidied(run), "key bigint, print bigint, id bigint")
+    return nodes.select("print", F.col("sketch").cast("tinyint")).mapInArrow(tidied(run), "key bigint, print bigint, sketch tinyint")
 
 
 def forest(prints: np.ndarray, ids: np.ndarray, radius: int) -> tuple[list, list]:
@@ -170,7 +203,7 @@ def forest(prints: np.ndarray, ids: np.ndarray, radius: int) -> tuple[list, list
 
 def neighbours_in_order(prints: np.ndarray, ids: np.ndarray, radius: int) -> tuple[list, list, list]:
     """Pairs for a first check, each member with the first and the previous one within the radius, and the clusters of members that the radius connects."""
-    order = np.argsort(_mix(ids.view(np.uint64)), kind="stable")
+    order = np.argsort(mix(ids.view(np.uint64)), kind="stable")
     prints, ids = prints[order], ids[order]
     a, b = forest(prints, ids, radius)
     root: dict[int, int] = {}
@@ -193,7 +226,7 @@ def _run_linker(radius: int, run_limit: int, chain: bool):
         return pa.RecordBatch.from_arrays([fill(a), fill(b), fill(key), fill(cluster)], names=["a", "b", "over", "cluster"])
 
     def run(batches):
-        held: list[np.ndarray] = [np.empty(0, np.int64)] * 3
+        held: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int8)]
         long_key = None
         for batch in batches:
             cols = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
@@ -222,9 +255,10 @@ def _run_linker(radius: int, run_limit: int, chain: bool):
             yield from closed(held)
 
     def closed(cols):
-        keys, prints, ids = cols[0], cols[1].view(np.uint64), cols[2]
+        keys, prints = cols[0], cols[1].view(np.uint64)
         if len(keys) < 2:
             return
+        ids = node_ids(prints, cols[2]).view(np.int64)
         starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
         sizes = np.diff(np.append(starts, len(keys)))
         two = starts[sizes == 2]
@@ -232,17 +266,17 @@ def _run_linker(radius: int, run_limit: int, chain: bool):
         a, b = ids[two].tolist(), ids[two + 1].tolist()
         names, members = [], []
         if chain and len(two):
-            name = (_mix(ids[two].view(np.uint64)) + _mix(ids[two + 1].view(np.uint64))).view(np.int64).tolist()
+            name = (mix(ids[two].view(np.uint64)) + mix(ids[two + 1].view(np.uint64))).view(np.int64).tolist()
             names, members = name + name, a + b
         for at, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
             run = prints[at : at + size]
             if size > run_limit and int(np.bitwise_or.reduce(run) ^ np.bitwise_and.reduce(run)).bit_count() >= fewest:
-                yield out(cols[1][at : at + size], ids[at : at + size], keys[at : at + size])
+                yield out(cols[1][at : at + size], cols[2][at : at + size], keys[at : at + size])
                 continue
             if chain:
                 x, y, clusters = neighbours_in_order(prints[at : at + size], ids[at : at + size], radius)
                 for c in clusters:
-                    names += [int(_mix(np.array(c, np.int64).view(np.uint64)).sum(dtype=np.uint64).view(np.int64))] * len(c)
+                    names += [int(mix(np.array(c, np.int64).view(np.uint64)).sum(dtype=np.uint64).view(np.int64))] * len(c)
                     members += c
             else:
                 x, y = forest(prints[at : at + size], ids[at : at + size], radius)
@@ -256,18 +290,19 @@ def _run_linker(radius: int, run_limit: int, chain: bool):
     return run
 
 
-def near_links(nodes: DataFrame, radius: int, work: Workspace, *, run_limit: int = RUN_LIMIT) -> DataFrame:
+def near_links(nodes: DataFrame, radius: int, work: Workspace, *, run_limit: int = RUN_LIMIT, masks: list[int] | None = None) -> DataFrame:
     """Links ``(a, b)`` that connect all nodes whose fingerprints differ in ``radius`` bits or fewer.
 
-    nodes: ``(id bigint, print bigint, sketch)`` with distinct ids, and distinct prints in
-    a sketch, as equal ones cannot be parted; fingerprints of one sketch are compared.
+    nodes: ``(print bigint, sketch)``, distinct, as equal ones cannot be parted; fingerprints
+    of one sketch are compared.  ``node_ids`` names them in the links.  ``masks`` are those of
+    the tables, one of which must hide any ``radius`` bits; covering masks by default.
     """
-    return _buckets(nodes, radius, work, False, run_limit)[0]
+    return _buckets(nodes, radius, work, False, run_limit, masks)[0]
 
 
-def _buckets(nodes: DataFrame, radius: int, work: Workspace, chain: bool, run_limit: int) -> tuple[DataFrame, DataFrame]:
+def _buckets(nodes: DataFrame, radius: int, work: Workspace, chain: bool, run_limit: int, masks: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Links, and with ``chain`` also clusters ``(cluster, id)`` of which one holds both ends of each pair within the radius."""
-    entries = _entries(nodes, covering_masks(radius))
+    entries = _entries(nodes, masks or covering_masks(radius))
     found, linker = [], _run_linker(radius, run_limit, chain)
     while True:
         dealt = entries.repartition(F.col("key")).sortWithinPartitions("key")
@@ -276,7 +311,7 @@ def _buckets(nodes: DataFrame, radius: int, work: Workspace, chain: bool, run_li
         over = step.where("over IS NOT NULL")
         if over.isEmpty():
             break
-        entries = _covered_again(over.select(F.col("over").alias("key"), F.col("a").alias("print"), F.col("b").alias("id")), radius, work, run_limit)
+        entries = _covered_again(over.select(F.col("over").alias("key"), F.col("a").alias("print"), F.col("b").cast("tinyint").alias("sketch")), radius, work, run_limit)
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionAll(more)
@@ -291,17 +326,17 @@ def _covered_again(rows: DataFrame, radius: int, work: Workspace, run_limit: int
     def run(batches):
         cache: dict[int, list[int]] = {}
         for b in batches:
-            keys, prints, ids, frees = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            keys, prints, sketch, frees = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             for free_bits in np.unique(frees):
                 at = frees == free_bits
                 masks = cache.setdefault(int(free_bits), covering_masks(radius, int(free_bits) & (1 << BITS) - 1))
                 for t, mask in enumerate(masks):
                     sub = prints[at].view(np.uint64) & np.uint64(mask)
-                    new = _mix(_mix(keys[at].view(np.uint64) + np.uint64(t + 1)) ^ sub)
-                    yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), pa.array(prints[at]), pa.array(ids[at])], names=["key", "print", "id"])
+                    new = mix(mix(keys[at].view(np.uint64) + np.uint64(t + 1)) ^ sub)
+                    yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), pa.array(prints[at]), pa.array(sketch[at])], names=["key", "print", "sketch"])
 
     # rows of one bucket are many and join one row: both sides are plain tables, which AQE splits
-    return rows.join(free, "key").select("key", "print", "id", "free").mapInArrow(tidied(run), "key bigint, print bigint, id bigint")
+    return rows.join(free, "key").select("key", "print", "sketch", "free").mapInArrow(tidied(run), "key bigint, print bigint, sketch tinyint")
 
 
 def simhash_components(docs: DataFrame, *, width: int = 3, radius: int = 3, run_limit: int = RUN_LIMIT) -> DataFrame:
@@ -313,7 +348,7 @@ def simhash_components(docs: DataFrame, *, width: int = 3, radius: int = 3, run_
     work = Workspace(docs.sparkSession, "simhash")
     prints = work.save(with_prints(docs, ["doc_id"], width, 1).select("doc_id", F.col("prints")[0].alias("print")), "prints")
     classes = work.save(prints.groupBy("print").agg(F.min("doc_id").alias("doc")), "classes")
-    links = near_links(classes.select(F.col("print").alias("id"), "print", F.lit(0).alias("sketch")), radius, work, run_limit=run_limit)
+    links = near_links(classes.select("print", F.lit(0).alias("sketch")), radius, work, run_limit=run_limit)
     member = connected_components(links, "a", "b")
     # classes that have links: the smallest doc_id of the whole component
     linked = work.save(classes.join(member.toDF("print", "component"), "print"), "linked")
@@ -325,58 +360,76 @@ def simhash_components(docs: DataFrame, *, width: int = 3, radius: int = 3, run_
     return prints.join(ids, "print").select("doc_id", "print", "component_id")
 
 
-def _class_ids(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_class", F.xxhash64(F.coalesce("text", F.lit(""))))
+def _text_hash() -> list[Column]:
+    """128 bits that name a text, in two columns."""
+    body = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(1), body).alias("h2")]
+
+
+def _node_id(print_: Column, sketch: Column, sketches: int) -> Column:
+    """``node_ids`` of columns."""
+    salts = node_ids(np.zeros(sketches, np.uint64), np.arange(sketches)).view(np.int64).tolist()
+    return print_.bitwiseXOR(F.element_at(F.array(*[F.lit(x) for x in salts]), sketch + 1))
 
 
-def near_duplicate_classes(docs: DataFrame, *, sketches: int = 6, radius: int = 3, width: int = 5, similarity: float = 0.8, run_limit: int = RUN_LIMIT) -> DataFrame:
-    """``(class, component)``: texts by their hash, grouped at a Jaccard similarity.
+def near_duplicate_classes(docs: DataFrame, *, sketches: int = SKETCHES, radius: int = RADIUS, width: int = 5, similarity: float = 0.8, run_limit: int = RUN_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """Distinct texts as ``(id, h1, h2, doc_id)`` and ``(class, component)``: their ids, grouped at a Jaccard similarity.
 
+    ``h1`` and ``h2`` hash the text, ``doc_id`` is the smallest of those that have it.
     Candidates are texts of which one of ``sketches`` SimHashes over distinct words lies
     within the radius; a candidate pair is a link if the sets of ``width``-word shingles
     have a Jaccard similarity of ``similarity`` or more, computed on the whole texts.
     A first check of few pairs a bucket links most; then all candidates whose ends are
     still in different components are compared.
-    Only classes with a link have a row.  Equal texts are one class from the start.
+    Only texts with a link have a component.
     """
     work = Workspace(docs.sparkSession, "near")
-    texts = _class_ids(docs)
-    made = with_prints(texts.select("_class", "text"), ["_class"], None, sketches)
-    nodes = work.save(made.groupBy(F.col("_class").alias("id")).agg(F.first("prints").alias("prints")), "nodes")
-    cells = nodes.select("id", F.posexplode("prints").alias("sketch", "print")).withColumn("group", F.xxhash64("sketch", "print"))
+    texts = docs.select("doc_id", *_text_hash(), "text")
+    made = with_prints(texts, ["doc_id", "h1", "h2"], None, sketches).select("doc_id", "h1", "h2", *[F.col("prints")[k].alias(f"p{k}") for k in range(sketches)])
+    distinct = made.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), *[F.first(f"p{k}").alias(f"p{k}") for k in range(sketches)])
+    nodes = work.save(distinct.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    cells = nodes.select("id", F.posexplode(F.array(*[f"p{k}" for k in range(sketches)])).alias("sketch", "print"))
+    cells = cells.withColumn("group", _node_id(F.col("print"), F.col("sketch"), sketches))
     groups = work.save(cells.groupBy("group", "sketch", "print").agg(F.min("id").alias("first"), F.count("*").alias("n")), "groups")
-    near, clusters = _buckets(groups.select(F.col("group").alias("id"), "print", "sketch"), radius, work, True, run_limit)
+    near, clusters = _buckets(groups.select("print", "sketch"), radius, work, True, run_limit)
     first = groups.select("group", "first")
     across = near.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b")
     # equal fingerprints: each text with the first one, and all of them as a cluster
     equal = cells.join(groups.where("n > 1").select("group", "first"), "group").where("id != first").select(F.col("first").alias("x"), F.col("id").alias("y"))
-    pairs = work.save(across.select("x", "y").unionAll(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    pairs = work.save(across.select("x", "y").unionAll(equal).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
     clusters = clusters.unionAll(groups.where("n > 2").select(F.col("group").alias("cluster"), F.col("group").alias("id")))
-    ends = work.save(pairs.select(F.col("a").alias("_class")).unionAll(pairs.select(F.col("b").alias("_class"))).distinct(), "ends")
-    # only texts that have a candidate are read again, one row for each class
-    bodies = work.save(texts.select("_class", "text").join(ends, "_class", "left_semi").groupBy("_class").agg(F.first("text").alias("text")), "bodies")
-    left = pairs.join(bodies.toDF("a", "left_text"), "a")
-    both = left.join(bodies.toDF("b", "right_text"), "b")
+    ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+    ends = work.save(nodes.select("id", "h1", "h2").join(ends, "id"), "ends")
+
+    def hashed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for some in together(t or "" for t in b.column(1).to_pylist()) for x in shingle_sets(some, width)], pa.binary())], names=["id", "set"])
+
+    # only texts that have a candidate are read again, and hashed once each
+    bodies = texts.join(ends, ["h1", "h2"]).groupBy("id").agg(F.first("text").alias("text"))
+    sets = work.save(bodies.mapInArrow(tidied(hashed), "id bigint, set binary"), "sets")
+    both = pairs.join(sets.toDF("a", "left_set"), "a").join(sets.toDF("b", "right_set"), "b")
 
     def run(batches):
         for b in batches:
             a, c, x, y = b.columns
-            keep = np.array([jaccard(p.as_py(), q.as_py(), width) >= similarity for p, q in zip(x, y, strict=True)], bool)
-            yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), c.filter(pa.array(keep))], names=["a", "b"])
+            read = lambda v: np.frombuffer(v.as_py(), np.uint64)
+            keep = pa.array(np.array([similar(read(p), read(q), similarity) for p, q in zip(x, y, strict=True)], bool))
+            yield pa.RecordBatch.from_arrays([a.filter(keep), c.filter(keep)], names=["a", "b"])
 
-    links = work.save(both.select("a", "b", "left_text", "right_text").mapInArrow(tidied(run), "a bigint, b bigint"), "checked")
+    links = work.save(both.select("a", "b", "left_set", "right_set").mapInArrow(tidied(run), "a bigint, b bigint"), "checked")
     found = connected_components(links, "a", "b")
     members = work.save(clusters.withColumnRenamed("id", "group").join(cells.select("group", "id", "print"), "group").select("cluster", "id", "print"), "members")
     rest = _unsettled(members, found, work)
     if not rest.where(F.col("size") > UNIT).isEmpty():
         # each text in its largest cluster first, which settles most of large groups before their other clusters are read
         largest = rest.groupBy("id").agg(F.max(F.struct("size", "cluster")).alias("m")).select("id", F.col("m.cluster").alias("cluster"))
-        links = links.unionAll(_compared(rest.join(largest, ["id", "cluster"]), bodies, work, radius, width, similarity))
+        links = links.unionAll(_compared(rest.join(largest, ["id", "cluster"]), sets, work, radius, similarity))
         found = connected_components(links, "a", "b")
         rest = _unsettled(members, found, work)
     if not rest.isEmpty():
-        found = connected_components(links.unionAll(_compared(rest, bodies, work, radius, width, similarity)), "a", "b")
-    return found.toDF("class", "component")
+        found = connected_components(links.unionAll(_compared(rest, sets, work, radius, similarity)), "a", "b")
+    return nodes.select("id", "h1", "h2", "doc_id"), found.toDF("class", "component")
 
 
 def _unsettled(members: DataFrame, components: DataFrame, work: Workspace) -> DataFrame:
@@ -387,7 +440,7 @@ def _unsettled(members: DataFrame, components: DataFrame, work: Workspace) -> Da
     return work.save(known.join(work.save(size.where("size > 2 AND low != high").select("cluster", "size"), "open"), "cluster"), "rest")
 
 
-def _compared(rest: DataFrame, bodies: DataFrame, work: Workspace, radius: int, width: int, similarity: float) -> DataFrame:
+def _compared(rest: DataFrame, sets: DataFrame, work: Workspace, radius: int, similarity: float) -> DataFrame:
     """Links ``(a, b)`` that join all similar texts within the radius in a cluster that have different labels.
 
     A cluster's texts outside its most frequent label are compared with all of the cluster,
@@ -405,11 +458,6 @@ def _compared(rest: DataFrame, bodies: DataFrame, work: Workspace, radius: int,
         rights.select(F.xxhash64("cluster", "at", column).alias("unit"), F.lit(False).alias("left"), "id", "print", "label")
     )
 
-    def hashed(batches):
-        for b in batches:
-            sets = [np.unique(_hashes(list(shingles(text_words(t.as_py()), width)), 42)).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
-
     def run(batches):
         held: list[tuple] = []
         for b in batches:
@@ -425,8 +473,6 @@ def _compared(rest: DataFrame, bodies: DataFrame, work: Workspace, radius: int,
         a, b = similar_pairs([r[2:] for r in rows if r[1]], [r[2:] for r in rows if not r[1]], radius, similarity)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    named = bodies.toDF("id", "text").join(rest.select("id").distinct(), "id", "left_semi")
-    sets = work.save(named.mapInArrow(tidied(hashed), "id bigint, set binary"), "sets")
     dealt = units.join(sets, "id").select("unit", "left", "id", "print", "label", "set").repartition(F.col("unit")).sortWithinPartitions("unit")
     return work.save(dealt.mapInArrow(tidied(run), "a bigint, b bigint"), "compared")
 
@@ -466,38 +512,43 @@ def similar_pairs(lefts: list[tuple], rights: list[tuple], radius: int, similari
             one, other = root(label), root(int(labels[j]))
             if one == other:
                 continue
-            both = len(np.intersect1d(x, sets[j], assume_unique=True))
-            union = len(x) + len(sets[j]) - both
-            if (both / union if union else 1.0) >= similarity:
+            if similar(x, sets[j], similarity):
                 parent[other] = one
                 a.append(i)
                 b.append(rights[j][0])
     return a, b
 
 
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of at least so much; two empty ones have 1."""
+    if min(len(x), len(y)) < (similarity - 1e-9) * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    union = len(x) + len(y) - both
+    return not union or both / union >= similarity
+
+
 def jaccard(x: str | None, y: str | None, width: int) -> float:
     """Similarity of two texts' sets of word shingles; 1 for two wordless texts."""
     p, q = set(shingles(text_words(x), width)), set(shingles(text_words(y), width))
     return len(p & q) / len(p | q) if p or q else 1.0
 
 
-def drop_near_duplicates(docs: DataFrame, *, sketches: int = 6, radius: int = 3, width: int = 5, similarity: float = 0.8, run_limit: int = RUN_LIMIT) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, sketches: int = SKETCHES, radius: int = RADIUS, width: int = 5, similarity: float = 0.8, run_limit: int = RUN_LIMIT) -> DataFrame:
     """``docs`` with one row of each group of exact and near copies: that with the smallest ``doc_id``.
 
     Null ids come last.  Rows that repeat an id and a text are one document, of which one
-    row stays.  All columns are kept as they are.
+    row stays.  All columns are kept as they are, whatever their names.
     """
     work = Workspace(docs.sparkSession, "dedup")
-    columns = docs.columns
-    groups = near_duplicate_classes(docs, sketches=sketches, radius=radius, width=width, similarity=similarity, run_limit=run_limit)
-    rows = _class_ids(docs.select("doc_id", "text")).select(F.col("_class").alias("class"), "doc_id")
-    known = work.save(rows.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "known")
-    named = work.save(known.join(groups, "class", "left").select("class", "doc_id", F.coalesce("component", "class").alias("component")), "named")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class"))
-    keep = work.save(named.groupBy("component").agg(first.alias("first")).select(F.col("first.class").alias("_class"), F.col("first.doc_id").alias("_keep_id")), "keep")
-    kept = _class_ids(docs).join(keep, "_class").where(F.col("doc_id").eqNullSafe(F.col("_keep_id")))
+    nodes, groups = near_duplicate_classes(docs, sketches=sketches, radius=radius, width=width, similarity=similarity, run_limit=run_limit)
+    named = nodes.join(groups.withColumnRenamed("class", "id"), "id", "left").select("h1", "h2", "doc_id", "id", F.coalesce("component", "id").alias("component"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "h1", "h2"))
+    keep = work.save(named.groupBy("component").agg(first.alias("first")).select("first.h1", "first.h2", F.col("first.doc_id").alias("keep_id")), "keep")
+    rows = docs.select(packed_row(docs), "doc_id", *_text_hash())
+    kept = rows.join(keep, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     # a row that repeats both id and text: rare, so the text moves again only if there is one
-    repeats = rows.groupBy("class", "doc_id").count().where("count > 1").join(keep.select(F.col("_class").alias("class")), "class", "left_semi")
-    if not repeats.isEmpty():
-        kept = kept.dropDuplicates(["_class"])
-    return kept.select(*columns)
+    seen = docs.select("doc_id", *_text_hash()).groupBy("h1", "h2", "doc_id").count().where("count > 1")
+    if not seen.join(keep, ["h1", "h2"]).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).isEmpty():
+        kept = kept.dropDuplicates(["h1", "h2"])
+    return kept.select("row.*")

@@ -143,9 +143,9 @@ def test_similarity_decides(spark):
     assert simhash.jaccard("a", "b", 5) == 0.0
 
 
-def plain_kept(texts, sketches=6, radius=3, width=5, similarity=0.8):
+def plain_kept(texts, sketches=simhash.SKETCHES, radius=simhash.RADIUS, width=5, similarity=0.8):
     """Texts that stay if all candidates are compared."""
-    prints = [simhash.word_prints(t, sketches) for t in texts]
+    prints = [simhash.word_prints([t], sketches) for t in texts]
     parent = list(range(len(texts)))
 
     def find(i):
@@ -188,6 +188,39 @@ def test_more_equal_prints_than_the_limit(spark):
     words = [f"longer{i}" for i in range(40)]
     rng = random.Random(11)
     texts = [" ".join(rng.sample(words, 40)) for _ in range(12)] + [" ".join(words[:20] + [f"b{i}"] + words[20:]) for i in range(12)]
-    assert len({tuple(simhash.word_prints(t, 6)) for t in texts}) == 1
+    assert len({tuple(simhash.word_prints([t], 6)) for t in texts}) == 1
     docs = spark.createDataFrame(rows(enumerate(texts)), SCHEMA)
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs, run_limit=4, similarity=0.7).collect()) == plain_kept(texts, similarity=0.7)
+
+
+def test_recall_against_all_pairs(spark):
+    """Of pairs with a similarity of 0.8 or more at least 95 in 100 are in one group."""
+    rng = random.Random(12)
+    texts = []
+    for g in range(150):
+        words = rng.randint(150, 500)
+        base = [rng.choice(VOCABULARY) for _ in range(words)]
+        edited = list(base)
+        for i in range(int(words * rng.uniform(0.005, 0.022))):
+            edited[rng.randrange(words)] = f"changed{g}of{i}"
+        texts += [" ".join(base), " ".join(edited)]
+    pairs = [(i, i + 1) for i in range(0, 300, 2) if simhash.jaccard(texts[i], texts[i + 1], 5) >= 0.8]
+    docs = spark.createDataFrame(rows(enumerate(texts)), SCHEMA)
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
+    assert len(pairs) > 100 and sum(b not in kept for _, b in pairs) >= 0.95 * len(pairs)
+    assert all(i in kept for i in range(0, 300, 2))
+
+
+def test_any_column_names(spark):
+    """Columns named like helpers, or with points, stay as they are."""
+    docs = spark.createDataFrame([(1, "a b c", 5, 6, "x", 7), (2, "a b c", 8, 9, "y", 1), (3, "", 1, 1, "z", 2)], "doc_id long, text string, h1 long, keep_id long, `a.b` string, id long")
+    assert sorted(map(tuple, simhash.drop_near_duplicates(docs).collect())) == [(1, "a b c", 5, 6, "x", 7), (3, "", 1, 1, "z", 2)]
+    assert simhash.simhash_components(docs).count() == 3
+
+
+def test_very_long_text(spark):
+    words = [f"w{i % 977}" for i in range(200_000)]
+    text = " ".join(words)
+    assert simhash.shingle_print(text, 3) == plain_print(text, 3)
+    docs = spark.createDataFrame(rows([(0, text), (1, text + " more"), (2, "short")]), SCHEMA)
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == [0, 2]
