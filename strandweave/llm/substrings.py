@@ -1,10 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-At each sentence a run of consecutive sentences begins: the shortest one that has at
-least ``sentences`` sentences and ``words`` words, or one sentence of ``long_words``
-words.  Runs are hashed on 128 bits and joined over the whole corpus; in order of
-documents and places the first occurrence of a run stays, and every sentence that a later
-occurrence covers is removed.
+A run has at least ``sentences`` consecutive sentences and ``words`` words, or is one
+sentence of ``long_words`` words.  All runs are made up of the shortest ones that begin or
+end at a sentence; these are hashed on 128 bits and joined over the whole corpus.  In
+order of documents and places the first occurrence of a run stays, and every sentence that
+a later occurrence covers is removed.
 
 Passages of ``long_words`` words or more need no sentence bounds.  Of each such window of
 words the least of its hashed ``ANCHOR``-word pieces is its anchor, so equal windows have
@@ -15,6 +15,9 @@ a sentence that is partly in a passage, ``EDGE`` words or more.
 Hashes are counted before the join, so only repeated runs are joined to their
 occurrences; both sides are plain tables, whose skewed partitions AQE splits.
 
+Memory: texts are taken together up to 256K characters, a longer one alone; its code points
+and the hashes of its words are held.
+
 Defined cases: the order of documents is that of ``doc_id``, nulls last, then of a hash of
 the text; rows that repeat both are one document and get the same text; a null text stays
 null, an empty one empty; a text without repeated runs stays as it is, byte for byte.
@@ -27,19 +30,18 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from strandweave.plans.workspace import Workspace
-from strandweave.llm.simhash import _mix
-from strandweave.llm.workers import bounded_batches, tidied
+from strandweave.llm.words import Words, code_points, double_hashes, gram_hashes, together, word_places
+from strandweave.llm.workers import bounded_batches, named, tidied
 
 #: Words of the pieces that anchor windows, at most half of a window.
 ANCHOR = 25
 #: Words of a sentence that a passage must have for them to go without the rest of the sentence.
 EDGE = 5
-_WORD = re.compile(r"\S+")
 #: A sentence ends behind its mark and white space, or with its line.
 _SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s)[^\n.!?]*)*[.!?]*\s*")
 
@@ -49,194 +51,232 @@ def split_sentences(text: str) -> list[str]:
     return [s for s in _SENTENCE.findall(text) if s]
 
 
-def runs(text: str, sentences: int, words: int, long_words: int) -> list[tuple[int, int, bytes]]:
-    """``(first, count, hash)`` of the run that begins at each sentence; none where the text ends before."""
-    return _placed_runs(text, sentences, words, long_words)[0]
-
-
-def _placed_runs(text: str, sentences: int, words: int, long_words: int) -> tuple[list[tuple[int, int, bytes]], list[int]]:
-    """The runs, and the number of words before each sentence and in all."""
-    parts = [s.split() for s in split_sentences(text)]
-    sizes = [len(p) for p in parts]
-    found, n = [], len(parts)
-    joined = [" ".join(p).encode("utf-8", "surrogatepass") for p in parts]
-    for i in range(n):
-        if not sizes[i]:
-            continue
-        if sizes[i] >= long_words:
-            found.append((i, 1, xxhash.xxh3_128_digest(joined[i])))
-            continue
-        total = filled = 0
-        for j in range(i, n):
-            total += sizes[j]
-            filled += sizes[j] > 0
-            if total >= words and filled >= sentences:
-                found.append((i, j - i + 1, xxhash.xxh3_128_digest(b" ".join(x for x in joined[i : j + 1] if x))))
-                break
-    return found, [0, *np.cumsum(sizes).tolist()]
-
-
-def _grams(hashes: np.ndarray, n: int, base: int) -> np.ndarray:
-    """A hash of each run of ``n`` words."""
-    powers = np.cumprod(np.full(len(hashes), base, np.uint64))
-    inverse = np.cumprod(np.full(len(hashes), pow(base, -1, 1 << 64), np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers)])
-    return _mix((sums[n:] - sums[:-n]) * inverse[: len(hashes) - n + 1])
-
-
-def _word_hashes(text: str) -> np.ndarray:
-    words = text.encode("utf-8", "surrogatepass").split() if text.isascii() else [w.encode("utf-8", "surrogatepass") for w in text.split()]
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
-def anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first and last window of each anchor, for a text's hashed words."""
+def runs(texts: list[str], sentences: int, words: int, long_words: int) -> tuple[np.ndarray, ...]:
+    """``(text, from, to, h1, h2)`` of the runs of some texts; ``from`` and ``to`` count words.
+
+    From each sentence the shortest run that begins there, and to each sentence the shortest
+    that ends there: every longer run is made up of such ones.
+    """
+    w = Words(texts)
+    if not len(w.hashes):
+        return (np.empty(0, np.int64),) * 5
+    sizes = [np.fromiter(map(len, split_sentences(t)), np.int64) for t in texts]
+    ends = np.concatenate([at + np.cumsum(x) for at, x in zip(w.text_start, sizes, strict=False)])
+    # the number of words before each sentence that has any, over all texts, and of all words
+    upto = np.unique(np.concatenate([[0], np.searchsorted(w.start, ends)]))
+    sizes, i = np.diff(upto), np.arange(len(upto) - 1)
+    text = w.text_of(upto[:-1])
+    # sentences before each text
+    bound = np.searchsorted(upto, w.first)
+    stop = np.maximum(np.searchsorted(upto, upto[:-1] + words), i + sentences)
+    start = np.minimum(np.searchsorted(upto, upto[1:] - words, side="right") - 1, i + 1 - sentences)
+    alone = sizes >= long_words
+    forward, back = (stop <= bound[text + 1]) & ~alone, (start >= bound[text]) & ~alone
+    first = np.concatenate([i[forward], start[back], i[alone]])
+    last = np.concatenate([stop[forward], i[back] + 1, i[alone] + 1])
+    both = np.unique(first * len(upto) + last)
+    text = text[both // len(upto)]
+    first, last = upto[both // len(upto)], upto[both % len(upto)]
+    return (text, first - w.first[text], last - w.first[text], *double_hashes(w.hashes, first, last))
+
+
+def _least(values: np.ndarray, span: int) -> np.ndarray:
+    """Where the least of each ``span`` neighbours is, the first in a tie: by doubling the neighbours."""
+    at, size = np.arange(len(values)), 1
+
+    def lesser(a, b):
+        return np.where(values[b] < values[a], b, a)
+
+    while 2 * size <= span:
+        at = lesser(at[: len(at) - size], at[size:])
+        size *= 2
+    rest = span - size
+    return lesser(at[: len(at) - rest], at[rest:]) if rest else at
+
+
+def anchors(texts: list[str], window: int) -> tuple[np.ndarray, ...]:
+    """``(text, hash, low, high)``: each anchor with its first and last window, windows named by their first word."""
     size = min(ANCHOR, (window + 1) // 2)
-    if len(hashes) < window:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    pieces = _grams(hashes, size, 0x9E3779B97F4A7C15)
-    span = window - size + 1
-    at = np.empty(len(hashes) - window + 1, np.int64)
-    for k in range(0, len(at), 4096):  # bounds the memory for one very long text
-        part = np.lib.stride_tricks.sliding_window_view(pieces[k : k + 4096 + span - 1], span)
-        at[k : k + 4096] = part.argmin(axis=1)[: len(at) - k] + np.arange(k, min(k + 4096, len(at)))
-    starts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-    return pieces[at[starts]], starts, np.append(starts[1:], len(at)) - 1
+    w = Words(texts)
+    if len(w.hashes) < window:
+        return (np.empty(0, np.int64),) * 4
+    pieces = gram_hashes(w.hashes, size)
+    at = _least(pieces, window - size + 1)
+    text = w.text_of(np.arange(len(at)))
+    inside = np.flatnonzero(np.arange(len(at)) + window <= w.first[text + 1])
+    if not len(inside):
+        return (np.empty(0, np.int64),) * 4
+    at, text = at[inside], text[inside]
+    turns = np.concatenate([[0], np.flatnonzero((at[1:] != at[:-1]) | (text[1:] != text[:-1])) + 1, [len(at)]])
+    text, low, high = text[turns[:-1]], inside[turns[:-1]], inside[turns[1:] - 1]
+    return text, pieces[at[turns[:-1]]].view(np.int64), low - w.first[text], high - w.first[text]
+
+
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of integers of a column; an empty one for null."""
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
 
 
-def _document_key(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_hash", F.xxhash64("text"))
+def _joined(texts: list[str], function, width: int) -> list[np.ndarray]:
+    """What a function gives for lists of texts put together; its first array says which text of the list."""
+    parts, done = [(np.empty(0, np.int64),) * width], 0
+    for some in together(texts):
+        text, *others = function(some)
+        parts.append((text + done, *others))
+        done += len(some)
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def _covered(start: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` places lie in any of the intervals."""
+    return np.cumsum(np.bincount(start, minlength=n + 1) - np.bincount(stop, minlength=n + 1))[:n] > 0
+
+
+def _text_hash() -> Column:
+    return F.xxhash64("text").alias("hash")
 
 
 def repeated_spans(docs: DataFrame, work: Workspace, *, sentences: int = 2, words: int = 16, long_words: int = 50) -> DataFrame:
-    """``(doc_id, hash, spans)``: per document the ``(first, count, from, to)`` of its runs that are not the first of their kind; the last two count words."""
+    """``(doc_id, hash, starts, stops)``: per document its runs that are not the first of their kind, in words."""
 
     def run(batches):
         for b in batches:
-            docs_, hashes, texts = b.column(0), b.column(1), b.column(2)
-            row, first, count, h, start, stop = [], [], [], [], [], []
-            for i, t in enumerate(texts):
-                found, before = _placed_runs(t.as_py(), sentences, words, long_words)
-                for f, c, d in found:
-                    start.append(before[f])
-                    stop.append(before[f + c])
-                    row.append(i)
-                    first.append(f)
-                    count.append(c)
-                    h.append(d)
-            two = np.frombuffer(b"".join(h), np.int64).reshape(-1, 2)
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [docs_.take(take), hashes.take(take), pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], names=["doc_id", "hash", "first", "count", "from", "to", "h1", "h2"]
-            )
+            row, start, stop, h1, h2 = _joined(b.column(2).to_pylist(), lambda texts: runs(texts, sentences, words, long_words), 5)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(h1), pa.array(h2)], names=["doc_id", "hash", "from", "to", "h1", "h2"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = _document_key(docs.select("doc_id", "text")).where("text IS NOT NULL").select("doc_id", "_hash", "text")
-    spans = work.save(rows.mapInArrow(tidied(run), f"doc_id {kind}, hash bigint, first int, count int, from int, to int, h1 bigint, h2 bigint"), "spans")
-    number = F.coalesce(F.col("doc_id"), F.lit(0))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), number.alias("doc_id"), F.col("hash").alias("hash"), F.col("first").alias("first"))
-    seen = spans.groupBy("h1", "h2").agg(F.min(place).alias("o"), F.max(place).alias("last")).where("o != last")
-    origin = work.save(seen.select("h1", "h2", F.col("o.none").alias("o_none"), F.col("o.doc_id").alias("o_doc"), F.col("o.hash").alias("o_hash"), F.col("o.first").alias("o_first")), "origins")
-    is_first = (F.col("doc_id").isNull() == F.col("o_none")) & (number == F.col("o_doc")) & (F.col("hash") == F.col("o_hash")) & (F.col("first") == F.col("o_first"))
-    later = work.save(spans.join(origin, ["h1", "h2"]).where(~is_first).select("doc_id", "hash", "first", "count", "from", "to"), "later")
-    return later.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("first", "count", "from", "to")).alias("spans"))
+    rows = docs.where("text IS NOT NULL").select("doc_id", _text_hash(), "text")
+    spans = work.save(rows.mapInArrow(tidied(run), f"doc_id {kind}, hash bigint, from int, to int, h1 bigint, h2 bigint"), "spans")
+    later = _repeated(spans, ["h1", "h2"], "from", work, lambda df: df.where(_place("from") != F.col("o")).select("doc_id", "hash", "from", "to"))
+    cut = work.save(_by_document(later), "cut")
+    work.drop(later)
+    return cut
+
+
+def _by_document(rows: DataFrame) -> DataFrame:
+    """``(doc_id, hash, starts, stops)`` from rows of ``(doc_id, hash, from, to)``."""
+    return rows.groupBy("doc_id", "hash").agg(F.collect_list("from").alias("starts"), F.collect_list("to").alias("stops"))
+
+
+def _place(at: str) -> Column:
+    """The order of places: documents, null ids last, then where in the text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("doc_id"), F.col("hash").alias("hash"), F.col(at).alias("at"))
+
+
+def _repeated(rows: DataFrame, keys: list[str], at: str, work: Workspace, then) -> DataFrame:
+    """What ``then`` makes of the rows whose keys are in several places, with the first place as ``o``.
+
+    rows: ``(doc_id, hash, ...)``, a saved table, which is dropped.  Most keys are in one
+    place: counting them needs the keys alone, and only what is left is put in order.
+    """
+    several = work.save(rows.groupBy(*keys).count().where("count > 1").select(*keys), "several")
+    found = work.save(rows.join(several, keys), "found")
+    work.drop(rows, several)
+    seen = found.groupBy(*keys).agg(F.min(_place(at)).alias("o"), F.max(_place(at)).alias("last")).where("o != last")
+    origins = work.save(seen.select(*keys, "o"), "origins")
+    out = work.save(then(found.join(origins, keys)), "repeated")
+    work.drop(found, origins)
+    return out
 
 
 def repeated_windows(docs: DataFrame, cut: DataFrame, work: Workspace, *, window: int) -> DataFrame:
-    """``(doc_id, hash, words)``: per document the ``(from, to)`` of the words in later occurrences of a window.
+    """``(doc_id, hash, starts, stops)``: per document the words in later occurrences of a window.
 
     cut: the result of ``repeated_spans``, whose words need no windows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = _document_key(docs.select("doc_id", "text")).where("text IS NOT NULL").select("doc_id", F.col("_hash").alias("hash"), "text")
+    rows = docs.where("text IS NOT NULL").select("doc_id", _text_hash(), "text")
 
     def anchored(batches):
         for b in batches:
-            found = [anchors(_word_hashes(t.as_py()), window) for t in b.column(2)]
-            take = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]), pa.int64())
-            h, low, high = (np.concatenate([np.empty(0, np.int64), *(f[k].view(np.int64) for f in found)]) for k in range(3))
+            row, h, low, high = _joined(b.column(2).to_pylist(), lambda texts: anchors(texts, window), 4)
+            take = pa.array(row)
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(h), pa.array(low, pa.int32()), pa.array(high, pa.int32())], names=["doc_id", "hash", "h", "low", "high"])
 
     def uncovered(batches):
         for b in batches:
-            ids, hashes, lists, spans = b.columns
-            row, h = [], []
-            for i, (found, runs_) in enumerate(zip(lists.to_pylist(), spans.to_pylist(), strict=True)):
-                open_ = np.ones(max(x["high"] for x in found) + window, bool)
-                for r in runs_ or ():
-                    open_[r["from"] : r["to"]] = False
-                before = np.concatenate([[0], np.cumsum(open_)])
-                for x in found:
-                    if x["later"] and before[x["high"] + window] > before[x["low"]]:
-                        h.append(x["h"])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64())], names=["h"])
+            found = [np.empty(0, np.int64)]
+            for h, low, high, start, stop in zip(*map(_lists, b.columns), strict=True):
+                n = max(high.max(initial=0) + window, stop.max(initial=0))
+                before = np.concatenate([[0], np.cumsum(~_covered(start, stop, n))])
+                found.append(h[before[high + window] > before[low]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["h"])
 
     def hashed(batches):
         for b in batches:
-            ids, hashes, texts, lists = b.columns
-            row, at, one, two = [], [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-            for i, (t, found) in enumerate(zip(texts, lists.to_pylist(), strict=True)):
-                words = _word_hashes(t.as_py())
-                places = np.unique(np.concatenate([np.arange(x["low"], x["high"] + 1) for x in found]))
-                row.append(np.full(len(places), i))
-                at.append(places)
-                one.append(_grams(words, window, 0x9E3779B97F4A7C15)[places])
-                two.append(_grams(_mix(words), window, 0xD1342543DE82EF95)[places])
-            take = pa.array(np.concatenate([np.empty(0, np.int64), *row]), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(take), hashes.take(take), pa.array(np.concatenate(at), pa.int32()), pa.array(np.concatenate(one).view(np.int64)), pa.array(np.concatenate(two).view(np.int64))], names=["doc_id", "hash", "at", "h1", "h2"]
-            )
-
-    def place(at):
-        return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("doc_id"), F.col("hash").alias("hash"), F.col(at).alias("at"))
+            lows, highs = _lists(b.column(3)), _lists(b.column(4))
+            texts, parts, done = b.column(2).to_pylist(), [(np.empty(0, np.int64),) * 4], 0
+            for some in together(texts):
+                w = Words(some)
+                before = zip(w.first, lows[done : done + len(some)], highs[done : done + len(some)], strict=False)
+                low, high = (np.concatenate(x) for x in zip(*((n + a, n + z) for n, a, z in before), strict=True))
+                places = np.flatnonzero(_covered(low, high + 1, len(w.hashes)))
+                text = w.text_of(places)
+                parts.append((text + done, places - w.first[text], *double_hashes(w.hashes, places, places + window)))
+                done += len(some)
+            row, at, h1, h2 = (np.concatenate(x) for x in zip(*parts, strict=True))
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at, pa.int32()), pa.array(h1), pa.array(h2)], names=["doc_id", "hash", "at", "h1", "h2"])
 
     def same(left, right):
         return (left["hash"] == right["_hash"]) & left["doc_id"].eqNullSafe(right["_id"])
 
-    named = lambda df: df.withColumnsRenamed({"doc_id": "_id", "hash": "_hash"})
+    apart = lambda df: df.withColumnsRenamed({"doc_id": "_id", "hash": "_hash"})
     found = work.save(rows.mapInArrow(tidied(anchored), f"doc_id {kind}, hash bigint, h bigint, low int, high int"), "anchors")
-    seen = work.save(found.groupBy("h").agg(F.min(place("low")).alias("o"), F.max(place("low")).alias("last")).where("o != last").select("h", "o"), "seen")
-    repeated = work.save(found.join(seen, "h").withColumn("later", place("low") != F.col("o")).drop("o"), "repeated")
-    by_doc = repeated.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("h", "low", "high", "later")).alias("found"))
-    spans = named(cut)
-    needed = by_doc.join(spans, same(by_doc, spans), "left").select("doc_id", "hash", "found", "spans").mapInArrow(tidied(uncovered), "h bigint")
+    repeated = _repeated(found, ["h"], "low", work, lambda df: df.withColumn("later", _place("low") != F.col("o")).drop("o"))
+    # an anchor is needed where a later place has words that no run covers
+    by_doc = repeated.where("later").groupBy("doc_id", "hash").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("h", "low", "high")])
+    spans = apart(cut)
+    needed = by_doc.join(spans, same(by_doc, spans), "left").select("hs", "lows", "highs", "starts", "stops").mapInArrow(tidied(uncovered), "h bigint")
     needed = work.save(needed.distinct(), "needed")
-    wanted = repeated.join(needed, "h").groupBy("doc_id", "hash").agg(F.collect_list(F.struct("low", "high")).alias("found"))
-    wanted = named(work.save(wanted, "wanted"))
+    wanted = repeated.join(needed, "h").groupBy("doc_id", "hash").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
+    wanted = apart(work.save(wanted, "wanted"))
     # rows that repeat are one document: their windows are at the same places
-    texts = rows.join(wanted, same(rows, wanted)).select("doc_id", "hash", "text", "found")
+    texts = rows.join(wanted, same(rows, wanted)).select("doc_id", "hash", "text", "lows", "highs")
     windows = work.save(texts.mapInArrow(tidied(hashed), f"doc_id {kind}, hash bigint, at int, h1 bigint, h2 bigint"), "windows")
-    first = windows.groupBy("h1", "h2").agg(F.min(place("at")).alias("o"), F.max(place("at")).alias("last")).where("o != last")
-    origin = work.save(first.select("h1", "h2", "o"), "first")
-    later = windows.join(origin, ["h1", "h2"]).where(place("at") != F.col("o"))
+    work.drop(repeated, needed)
     # in the origin's own document the origin's words stay
     own = (F.col("o.none") == F.col("doc_id").isNull()) & (F.col("o.doc_id") == F.coalesce(F.col("doc_id"), F.lit(0))) & (F.col("o.hash") == F.col("hash"))
     start = F.when(own, F.greatest("at", F.col("o.at") + window)).otherwise(F.col("at"))
-    later = work.save(later.select("doc_id", "hash", start.alias("from"), (F.col("at") + window).alias("to")), "later-words")
-    return later.groupBy("doc_id", "hash").agg(F.collect_set(F.struct("from", "to")).alias("words"))
+
+    def words(df: DataFrame) -> DataFrame:
+        later = df.where(_place("at") != F.col("o")).select("doc_id", "hash", start.alias("from"), (F.col("at") + window).alias("to"))
+        return later.where(F.col("from") < F.col("to"))
+
+    later = _repeated(windows, ["h1", "h2"], "at", work, words)
+    words_ = work.save(_by_document(later), "words")
+    work.drop(later)
+    return words_
 
 
-def without(text: str, spans: list[dict], words: list[dict]) -> tuple[str, int, int]:
-    """``text`` without sentence runs and words, how many sentences it had and how many lost text."""
+def without(text: str, runs_: tuple[np.ndarray, np.ndarray], windows: tuple[np.ndarray, np.ndarray]) -> tuple[str, int, int]:
+    """``text`` without the sentences of runs and the words of windows, how many sentences it had and how many lost text."""
     parts = split_sentences(text)
-    ends = np.cumsum([0, *map(len, parts)])
-    gone = np.zeros(len(text), bool)
-    for s in spans:
-        gone[ends[s["first"]] : ends[s["first"] + s["count"]]] = True
-    if words:
-        # a word goes with the white space behind it
-        at = [m.start() for m in _WORD.finditer(text)] + [len(text)]
-        covered = np.zeros(len(at) - 1, bool)
-        for w in words:
-            covered[w["from"] : w["to"]] = True
-        # which words are in each sentence; a few at the edge of a passage may be the sentence's own
-        bounds = np.searchsorted(at[:-1], ends)
-        count = np.diff(np.concatenate([[0], np.cumsum(covered)])[bounds])
-        for i in np.flatnonzero((count > 0) & (count < EDGE) & (count < np.diff(bounds))):
-            covered[bounds[i] : bounds[i + 1]] = False
-        for i in np.flatnonzero(covered):
-            gone[at[i] : at[i + 1]] = True
-    turns = [0, *(np.flatnonzero(gone[1:] != gone[:-1]) + 1).tolist(), len(text)] if text else [0]
+    if not len(runs_[0]) and not len(windows[0]):
+        return text, len(parts), 0
+    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+    # a word goes with the white space behind it
+    at, _ = word_places(code_points(text))
+    at, n = np.append(at, len(text)), len(at)
+    # which words are in each sentence
+    bounds = np.searchsorted(at[:-1], ends)
+    size = np.diff(bounds)
+    in_run = _covered(*runs_, n)
+    # the sentences of a run go whole, with what has no word between them
+    whole = np.concatenate([[0], np.cumsum(in_run)])[bounds]
+    whole = (np.diff(whole) == size) & (size > 0)
+    for i in np.flatnonzero(size == 0):
+        whole[i] = i > 0 and i + 1 < len(parts) and whole[i - 1] and bounds[i] < n and in_run[bounds[i]]
+    covered = _covered(*windows, n)
+    count = np.diff(np.concatenate([[0], np.cumsum(covered)])[bounds])
+    # a few words at the edge of a passage may be the sentence's own
+    few = (count > 0) & (count < EDGE) & (count < size)
+    covered &= ~np.repeat(few, size)
+    start, stop = np.concatenate([ends[:-1][whole], at[:-1][covered]]), np.concatenate([ends[1:][whole], at[1:][covered]])
+    gone = _covered(start, stop, len(text))
+    turns = [0, *(np.flatnonzero(gone[1:] != gone[:-1]) + 1).tolist(), len(text)]
     left = "".join(text[a:b] for a, b in zip(turns, turns[1:], strict=False) if not gone[a])
     lost = np.concatenate([[0], np.cumsum(gone)])[ends]
     return left, len(parts), int((lost[1:] > lost[:-1]).sum())
@@ -251,32 +291,27 @@ def remove_repeats(docs: DataFrame, *, sentences: int = 2, words: int = 16, long
     """
     bounded_batches(docs.sparkSession)
     work = Workspace(docs.sparkSession, "substrings")
-    columns = docs.columns
-    cut = work.save(repeated_spans(docs, work, sentences=sentences, words=words, long_words=long_words), "cut")
+    cut = repeated_spans(docs, work, sentences=sentences, words=words, long_words=long_words)
     words_ = repeated_windows(docs, cut, work, window=long_words)
-    both = cut.withColumn("words", F.lit(None).cast(words_.schema["words"].dataType)).unionByName(words_.withColumn("spans", F.lit(None).cast(cut.schema["spans"].dataType)))
-    cut = work.save(both.groupBy("doc_id", "hash").agg(F.first("spans", ignorenulls=True).alias("_spans"), F.first("words", ignorenulls=True).alias("_words")), "all")
-    cut = cut.select(F.col("doc_id").alias("_cut_id"), F.col("hash").alias("_cut_hash"), "_spans", "_words")
-    kept = ["doc_id", "text"] if details else columns
-    rows = _document_key(docs.select(*kept))
-    match = (F.col("_hash") == F.col("_cut_hash")) & F.col("doc_id").eqNullSafe(F.col("_cut_id"))
-    rows = rows.join(cut, match, "left").select(*kept, "_spans", "_words")
+    runs_, words_ = (df.select("doc_id", "hash", *[F.col(c).alias(f"{c}_{i}") for c in ("starts", "stops")]) for i, df in enumerate((cut, words_)))
+    none = F.lit(None).cast("array<int>")
+    both = runs_.select("*", none.alias("starts_1"), none.alias("stops_1")).unionByName(words_.select("*", none.alias("starts_0"), none.alias("stops_0")))
+    parts = ["starts_0", "stops_0", "starts_1", "stops_1"]
+    cut = work.save(both.groupBy("doc_id", "hash").agg(*[F.first(c, ignorenulls=True).alias(c) for c in parts]), "all")
+    kept = ["doc_id", "text"] if details else docs.columns
+    rows = docs.select(*map(named, kept))
+    types = [f.dataType for f in rows.schema.fields]
+    rows = rows.select(F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(kept)]).alias("row"), "doc_id", _text_hash())
+    cut = cut.withColumnRenamed("doc_id", "cut_id")
+    rows = rows.join(cut, (rows["hash"] == cut["hash"]) & rows["doc_id"].eqNullSafe(cut["cut_id"]), "left").select("row.*", *parts)
     at = kept.index("text")
 
     def run(batches):
         for b in batches:
             texts, n, gone, chars = [], [], [], []
-            for t, spans, words_ in zip(b.column(at), b.column(len(kept)), b.column(len(kept) + 1), strict=True):
+            for t, a, z, a_words, z_words in zip(b.column(at), *(_lists(b.column(len(kept) + k)) for k in range(4)), strict=True):
                 text = t.as_py()
-                found = spans.as_py() or words_.as_py()
-                if not found and not details:
-                    texts.append(text)
-                    n.append(0)
-                    gone.append(0)
-                    chars.append(0)
-                    continue
-                left, count, lost = without(text or "", spans.as_py() or [], words_.as_py() or [])
-                left = left if found else text
+                left, count, lost = without(text, (a, z), (a_words, z_words)) if text and (details or len(a) or len(a_words)) else (text, 0, 0)
                 texts.append(left)
                 n.append(count)
                 gone.append(lost)
@@ -290,5 +325,6 @@ def remove_repeats(docs: DataFrame, *, sentences: int = 2, words: int = 16, long
                 out["n_chars"] = pa.compute.if_else(changed, sizes, out["n_chars"].cast(pa.int64()))
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    fields = ", ".join(f"`{f.name}` {'bigint' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
-    return rows.mapInArrow(tidied(run), fields + ", n_sentences bigint, n_removed bigint, removed_chars bigint" * details)
+    fields = [StructField(c, LongType() if c == "n_chars" else t) for c, t in zip(kept, types, strict=True)]
+    fields += [StructField(c, LongType()) for c in ("n_sentences", "n_removed", "removed_chars")] * details
+    return rows.mapInArrow(tidied(run), StructType(fields))
