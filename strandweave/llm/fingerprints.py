@@ -7,6 +7,9 @@ for each choice of blocks one table leads with the chosen blocks, and any two
 fingerprints within the radius agree on the lead of some table (G. Manku, A. Jain and
 A. Das Sarma, "Detecting near-duplicates for web crawling", WWW 2007).
 
+Memory: of a text, its words and their counts and 64 bytes a distinct word; a task holds one
+text and the next one.
+
 Defined cases: a null text is an empty one, with fingerprint zero; a document's next one
 follows it in descending order of ``doc_id``, null ids after all others, equal ids by a
 hash of their texts, rows that repeat both in any order; after the last comes the first,
@@ -25,7 +28,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from strandweave.llm.simhash import near_links
 from strandweave.llm.workers import bounded_batches, tidied
+from strandweave.operators.components import connected_components
+from strandweave.plans.workspace import Workspace
 
 BITS = 64
 
@@ -103,8 +110,34 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
-def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each document and its edited text, and their likeness to each other and to the next document's."""
+def fingerprint_edits(docs: DataFrame, *, radius: int | None = None, blocks: int = 5) -> DataFrame:
+    """Fingerprints of each document and its edited text, and their likeness to each other and to the next document's.
+
+    With a ``radius`` also ``near_group``: documents have the same one if a chain of
+    fingerprints within the radius leads from one to the other; the first of its fingerprints.
+    """
+    made = _edits(docs)
+    if radius is None:
+        return made
+    work = Workspace(docs.sparkSession, "fingerprints")
+    made = work.save(made, "made")
+    group = near_groups(made.select(F.conv("fingerprint", 16, -10).cast("bigint").alias("print")), work, radius=radius, blocks=blocks)
+    named = group.select(F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.lower(F.lpad(F.hex("group"), 16, "0")).alias("near_group"))
+    joined = made.join(named, "fingerprint", "left")
+    return joined.select(*made.columns, F.coalesce("near_group", "fingerprint").alias("near_group"))
+
+
+def near_groups(prints: DataFrame, work: Workspace, *, radius: int, blocks: int) -> DataFrame:
+    """``(print, group)`` for the fingerprints that have another within the radius, from the permuted block tables.
+
+    A bucket's links are a spanning forest; one that is too long is parted by its free bits.
+    """
+    nodes = work.save(prints.distinct().select("print", F.lit(0).alias("sketch")), "prints")
+    links = near_links(nodes, radius, work, masks=block_leads(radius, blocks))
+    return connected_components(links, "a", "b").toDF("print", "group")
+
+
+def _edits(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
     memo: dict[str, int] = {}
