@@ -10,6 +10,8 @@ N-grams have one to three characters of the lower-cased text; whatever is not a
 counts as one separator.  Profiles are fitted on at most ``fit_rows`` texts of each
 language, taken by a hash of the id; predictions read every text whole.
 
+Memory: a text's code points and n-grams are held, some fifty bytes a character.
+
 Defined cases: a null text and one without a letter are ``und`` with score 0, as is every
 text if nothing could be learned; a row with a null id is never learned from and counts
 as held out; rows that repeat are predicted alike; other columns are not read.
@@ -127,20 +129,18 @@ class Ranker:
         return self.langs[best], 1.0 - float(total[best]) / (self.size * len(own))
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], *, size: int = 300, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``keep`` (``doc_id`` by default), the language and its score for each row of ``docs``."""
+def predict(docs: DataFrame, profiles: dict[str, list[int]], *, size: int = 300) -> DataFrame:
+    """``(doc_id, lang_pred, score)``: the language and its score for each row of ``docs``."""
     bounded_batches(docs.sparkSession)
-    kept = ["doc_id"] if keep is None else keep
-    rows = docs.select(*kept, F.col("text").alias("_text"))
 
     def run(batches):
         rank = Ranker(profiles, size)
         for b in batches:
-            found = [rank(t.as_py()) for t in b.column(len(kept))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*kept, *names])
+            found = [rank(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(tidied(run), f"{fields}, `{names[0]}` string, `{names[1]}` double")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -156,8 +156,22 @@ def identify(docs: DataFrame, *, size: int = 300, fit_rows: int = 5000) -> DataF
 
 
 def drop_unidentified(docs: DataFrame, *, size: int = 300, fit_rows: int = 5000, least: float = 0.1) -> DataFrame:
-    """``docs`` without texts in no language known: ``und``, or a score under ``least``."""
-    columns = docs.columns
+    """``docs`` without texts in no language known: ``und``, or a score under ``least``.
+
+    Columns of any name stay as they are.
+    """
+    bounded_batches(docs.sparkSession)
     learn = docs.where(~held_out()).select("doc_id", "text", "lang")
-    found = predict(docs, fit_profiles(learn, size=size, fit_rows=fit_rows), size=size, keep=columns, names=("_lang_pred", "_score"))
-    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least)).select(*columns)
+    profiles = fit_profiles(learn, size=size, fit_rows=fit_rows)
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches):
+        rank = Ranker(profiles, size)
+        for b in batches:
+            found = [rank(t.as_py()) for t in b.column(at)]
+            kept = b.filter(pa.array([x != UNKNOWN and s >= least for x, s in found], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns, names=names)
+
+    # by places, as names may hold points
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(tidied(run), docs.schema)

@@ -90,13 +90,15 @@ def test_runs_equal_brute_force(spark):
     rng = random.Random(2)
     pool = [" ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(rng.randint(2, 12))) + rng.choice([". ", "!\n", "? "]) for _ in range(30)]
     texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(30)]
+    # every run of two or more sentences and sixteen or more words, whatever its length
     first, covered = {}, {}
     for d, t in enumerate(texts):
-        for at, n, h in substrings.runs(t, 2, 16, 50):
-            if h in first:
-                covered.setdefault(d, set()).update(range(at, at + n))
-            else:
-                first[h] = (d, at)
+        parts = substrings.split_sentences(t)
+        for at in range(len(parts)):
+            for end in range(at + 2, len(parts) + 1):
+                run = " ".join("".join(parts[at:end]).split())
+                if len(run.split()) >= 16 and first.setdefault(run, (d, at)) != (d, at):
+                    covered.setdefault(d, set()).update(range(at, end))
     want = {d: "".join(s for i, s in enumerate(substrings.split_sentences(t)) if i not in covered.get(d, ())) for d, t in enumerate(texts)}
     found = {r["doc_id"]: r for r in substrings.remove_repeats(docs_of(spark, texts)).collect()}
     assert {d: r["text"] for d, r in found.items()} == want
