@@ -46,8 +46,11 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 # -- JSON-LD ---------------------------------------------------------------------
 
 
-def write_collection(spark: SparkSession, d: str, folder: str) -> None:
-    """Regions, nations, suppliers and neighbourhoods as one JSON-LD document."""
+def collection_lines(spark: SparkSession, d: str) -> DataFrame:
+    """``(part, value)``: regions, nations, suppliers and neighbourhoods as one JSON-LD document, in order of the parts.
+
+    Only the items share a part: rows that a sort leaves equal come as executors send them.
+    """
     region, nation, supplier = (_table(spark, d, t) for t in ("region", "nation", "supplier"))
     json = lambda df, **fields: df.select(F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"}).alias("value"))
     one = lambda kind: F.array(F.lit(kind))
@@ -60,8 +63,12 @@ def write_collection(spark: SparkSession, d: str, folder: str) -> None:
         json(region, **{"@type": F.lit("NoId"), "name": F.col("r_name")}),
     ]
     head = ['{"@context": "https://w3id.org/ro/crate/1.1/context", "@graph": [', '{"@id": "ro-crate-metadata.json", "@type": "CreativeWork", "about": {"@id": "./"}},', '{"@id": "./", "@type": "Dataset", "name": "Places"}']
-    rows = spark.createDataFrame([(0, x) for x in head], "part int, value string").unionAll(_union(items).select(F.lit(1), F.concat(F.lit(","), "value"))).unionAll(spark.createDataFrame([(2, "]}")], "part int, value string"))
-    single_file(rows.orderBy("part").select("value"), f"{folder}/{jsonld.DOCUMENT}")
+    ends = spark.createDataFrame([*enumerate(head), (len(head) + 1, "]}")], "part int, value string")
+    return ends.unionAll(_union(items).select(F.lit(len(head)), F.concat(F.lit(","), "value")))
+
+
+def write_collection(spark: SparkSession, d: str, folder: str) -> None:
+    single_file(collection_lines(spark, d).orderBy("part").select("value"), f"{folder}/{jsonld.DOCUMENT}")
 
 
 _JSONLD = """e AS (

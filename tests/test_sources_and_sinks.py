@@ -6,7 +6,7 @@ import xml.etree.ElementTree as ET
 import pytest
 from pyspark.sql import functions as F
 
-from strandweave import sinks, sources
+from strandweave import sinks, source_queries, sources
 from strandweave.functions import variants as V
 from strandweave.model import PropertyGraph
 from strandweave.operators import presentation, semantic, text
@@ -65,6 +65,13 @@ def test_several_collections(spark, collection, tmp_path):
         jsonld.read_many(spark, [collection, collection])
 
 
+def test_written_collection_in_any_order_of_equal_parts(spark):
+    rows = source_queries.collection_lines(spark, "/root/testdata/sf0.001").collect()
+    for found in (rows, rows[::-1]):
+        items = json.loads("\n".join(r["value"] for r in sorted(found, key=lambda r: r["part"])))["@graph"]
+        assert [x["@id"] for x in items[:2]] == [jsonld.DOCUMENT, "./"] and len(items) == len(rows) - 2
+
+
 def test_tables(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "ENTITY.csv").write_text("EID,ETYPE,NAME\nE1,Person - Public Figure,Ann\nE2,,Bob\n,x,y\n")
