@@ -13,8 +13,8 @@ In a bucket, links are a spanning forest, never all pairs.  A bucket with more t
 ``run_limit`` members is covered again over the bits in which its members still differ,
 which halves those bits each time and keeps the guarantee, until it is small.  Texts of
 equal fingerprints are one member, so that each round parts a bucket.  Where links
-are checked on the texts, the members that the radius connects are kept as clusters too, and
-the pairs in them that the checks left in different components are compared.
+are checked on the texts, the members that a sketch's links connect are a cluster, one for
+each text and sketch, and the pairs in it that the checks left in different components are compared.
 
 Memory: a text's shingles are hashed ``BLOCK`` at a time, so a very long text costs the list
 of its words; of near copies, the hashes of its distinct shingles.
@@ -46,8 +46,11 @@ RUN_LIMIT = 4096
 #: SimHashes of a text and differing bits in which near copies are sought: a pair of similarity 0.8
 #: is about 4.4 bits apart in one of them, so all six miss about one pair in a hundred.
 SKETCHES, RADIUS = 6, 4
-#: Texts a side that a task compares at a time.
-UNIT = 256
+#: Texts a side that a task compares at a time; one of many shingles counts once for each ``WEIGHT`` of them.
+UNIT, WEIGHT = 1024, 1024
+#: A cluster with more texts to compare with all others is read by its buckets, of which a text has
+#: ``2 ** (radius + 1) - 1`` a sketch: from there on the cluster's own units would have more rows.
+WIDE = UNIT << RADIUS + 1
 #: Shingles hashed at a time.
 BLOCK = 1 << 15
 
@@ -201,22 +204,27 @@ def forest(prints: np.ndarray, ids: np.ndarray, radius: int) -> tuple[list, list
     return a, b
 
 
-def neighbours_in_order(prints: np.ndarray, ids: np.ndarray, radius: int) -> tuple[list, list, list]:
-    """Pairs for a first check, each member with the first and the previous one within the radius, and the clusters of members that the radius connects."""
+def neighbours_in_order(prints: np.ndarray, ids: np.ndarray, radius: int) -> tuple[list, list]:
+    """Pairs for a first check: each member with the first and the previous one within the radius."""
     order = np.argsort(mix(ids.view(np.uint64)), kind="stable")
     prints, ids = prints[order], ids[order]
     a, b = forest(prints, ids, radius)
+    near = np.bitwise_count(prints[1:] ^ prints[:-1]) <= radius
+    return a + ids[:-1][near].tolist(), b + ids[1:][near].tolist()
+
+
+def connected_members(prints: np.ndarray, ids: np.ndarray, radius: int) -> list[list[int]]:
+    """The clusters of two or more members that the radius connects."""
     root: dict[int, int] = {}
     clusters: dict[int, list[int]] = {}
-    for x, y in zip(a, b, strict=True):  # a tree's edges lead away from its root
+    for x, y in zip(*forest(prints, ids, radius), strict=True):  # a tree's edges lead away from its root
         root[y] = root.setdefault(x, x)
         clusters.setdefault(root[y], [root[y]]).append(y)
-    near = np.bitwise_count(prints[1:] ^ prints[:-1]) <= radius
-    return a + ids[:-1][near].tolist(), b + ids[1:][near].tolist(), list(clusters.values())
+    return list(clusters.values())
 
 
-def _run_linker(radius: int, run_limit: int, chain: bool):
-    """Reads rows sorted by key; gives links, the rows of runs that are too long and, with ``chain``, clusters under a hash of their members."""
+def _run_linker(radius: int, run_limit: int, give: str):
+    """Reads rows sorted by key; gives the rows of runs that are too long and, as ``give`` says, links as a ``forest`` or in ``order``, or ``clusters`` under a hash of their members."""
 
     #: With fewer bits that differ a mask can be empty and part nothing; they have at most ``1 << fewest - 1`` values.
     fewest = 1 << radius
@@ -265,21 +273,21 @@ def _run_linker(radius: int, run_limit: int, chain: bool):
         two = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= radius]
         a, b = ids[two].tolist(), ids[two + 1].tolist()
         names, members = [], []
-        if chain and len(two):
-            name = (mix(ids[two].view(np.uint64)) + mix(ids[two + 1].view(np.uint64))).view(np.int64).tolist()
-            names, members = name + name, a + b
+        if give == "clusters":
+            names, members = (mix(ids[two].view(np.uint64)) + mix(ids[two + 1].view(np.uint64))).view(np.int64).tolist() * 2, a + b
+            a, b = [], []
         for at, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
             run = prints[at : at + size]
             if size > run_limit and int(np.bitwise_or.reduce(run) ^ np.bitwise_and.reduce(run)).bit_count() >= fewest:
                 yield out(cols[1][at : at + size], cols[2][at : at + size], keys[at : at + size])
                 continue
-            if chain:
-                x, y, clusters = neighbours_in_order(prints[at : at + size], ids[at : at + size], radius)
-                for c in clusters:
+            own = ids[at : at + size]
+            if give == "clusters":
+                for c in connected_members(run, own, radius):
                     names += [int(mix(np.array(c, np.int64).view(np.uint64)).sum(dtype=np.uint64).view(np.int64))] * len(c)
                     members += c
-            else:
-                x, y = forest(prints[at : at + size], ids[at : at + size], radius)
+                continue
+            x, y = (neighbours_in_order if give == "order" else forest)(run, own, radius)
             a += x
             b += y
         if a:
@@ -297,13 +305,13 @@ def near_links(nodes: DataFrame, radius: int, work: Workspace, *, run_limit: int
     of one sketch are compared.  ``node_ids`` names them in the links.  ``masks`` are those of
     the tables, one of which must hide any ``radius`` bits; covering masks by default.
     """
-    return _buckets(nodes, radius, work, False, run_limit, masks)[0]
+    return _buckets(nodes, radius, work, "forest", run_limit, masks)
 
 
-def _buckets(nodes: DataFrame, radius: int, work: Workspace, chain: bool, run_limit: int, masks: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Links, and with ``chain`` also clusters ``(cluster, id)`` of which one holds both ends of each pair within the radius."""
+def _buckets(nodes: DataFrame, radius: int, work: Workspace, give: str, run_limit: int, masks: list[int] | None = None) -> DataFrame:
+    """Links ``(a, b)``, or ``clusters (cluster, id)`` of which one holds both ends of each pair within the radius."""
     entries = _entries(nodes, masks or covering_masks(radius))
-    found, linker = [], _run_linker(radius, run_limit, chain)
+    found, linker = [], _run_linker(radius, run_limit, give)
     while True:
         dealt = entries.repartition(F.col("key")).sortWithinPartitions("key")
         step = work.save(dealt.mapInArrow(tidied(linker), "a bigint, b bigint, over bigint, cluster bigint"), "links")
@@ -315,8 +323,9 @@ def _buckets(nodes: DataFrame, radius: int, work: Workspace, chain: bool, run_li
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionAll(more)
-    links = rows.where("cluster IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return links, rows.where("cluster IS NOT NULL").select("cluster", F.col("b").alias("id")).distinct()
+    if give == "clusters":
+        return rows.select("cluster", F.col("b").alias("id")).distinct()
+    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _covered_again(rows: DataFrame, radius: int, work: Workspace, run_limit: int) -> DataFrame:
@@ -391,13 +400,12 @@ def near_duplicate_classes(docs: DataFrame, *, sketches: int = SKETCHES, radius:
     cells = nodes.select("id", F.posexplode(F.array(*[f"p{k}" for k in range(sketches)])).alias("sketch", "print"))
     cells = cells.withColumn("group", _node_id(F.col("print"), F.col("sketch"), sketches))
     groups = work.save(cells.groupBy("group", "sketch", "print").agg(F.min("id").alias("first"), F.count("*").alias("n")), "groups")
-    near, clusters = _buckets(groups.select("print", "sketch"), radius, work, True, run_limit)
+    near = work.save(_buckets(groups.select("print", "sketch"), radius, work, "order", run_limit), "near")
     first = groups.select("group", "first")
     across = near.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b")
     # equal fingerprints: each text with the first one, and all of them as a cluster
     equal = cells.join(groups.where("n > 1").select("group", "first"), "group").where("id != first").select(F.col("first").alias("x"), F.col("id").alias("y"))
     pairs = work.save(across.select("x", "y").unionAll(equal).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-    clusters = clusters.unionAll(groups.where("n > 2").select(F.col("group").alias("cluster"), F.col("group").alias("id")))
     ends = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
     ends = work.save(nodes.select("id", "h1", "h2").join(ends, "id"), "ends")
 
@@ -407,7 +415,9 @@ def near_duplicate_classes(docs: DataFrame, *, sketches: int = SKETCHES, radius:
 
     # only texts that have a candidate are read again, and hashed once each
     bodies = texts.join(ends, ["h1", "h2"]).groupBy("id").agg(F.first("text").alias("text"))
-    sets = work.save(bodies.mapInArrow(tidied(hashed), "id bigint, set binary"), "sets")
+    hashed_sets = bodies.mapInArrow(tidied(hashed), "id bigint, set binary")
+    sets = work.save(hashed_sets.withColumn("weight", F.greatest(F.lit(1), F.ceil(F.octet_length("set") / (8 * WEIGHT)))), "sets")
+    weights, sets = sets.select("id", "weight"), sets.select("id", "set")
     both = pairs.join(sets.toDF("a", "left_set"), "a").join(sets.toDF("b", "right_set"), "b")
 
     def run(batches):
@@ -419,8 +429,21 @@ def near_duplicate_classes(docs: DataFrame, *, sketches: int = SKETCHES, radius:
 
     links = work.save(both.select("a", "b", "left_set", "right_set").mapInArrow(tidied(run), "a bigint, b bigint"), "checked")
     found = connected_components(links, "a", "b")
-    members = work.save(clusters.withColumnRenamed("id", "group").join(cells.select("group", "id", "print"), "group").select("cluster", "id", "print"), "members")
+    # what a sketch's links connect is one cluster, whichever and however many buckets gave them
+    linked = connected_components(near, "a", "b").toDF("group", "cluster")
+    named = groups.join(linked, "group", "left").where("cluster IS NOT NULL OR n > 2")
+    clusters = work.save(named.select("group", "sketch", "print", F.coalesce("cluster", "group").alias("cluster")), "clusters")
+    inside = cells.join(weights, "id").select("group", "id", "print", "weight")
+    members = work.save(clusters.select("cluster", "group").join(inside, "group").select("cluster", "id", "print", "weight"), "members")
     rest = _unsettled(members, found, work)
+    wide = work.save(_open_texts(rest).where(F.col("open") > WIDE).select("cluster"), "wide")
+    if not wide.isEmpty():
+        parted = _buckets(clusters.join(wide, "cluster").select("print", "sketch"), radius, work, "clusters", run_limit)
+        equal = clusters.join(wide, "cluster").select("group").join(groups.where("n > 2").select("group"), "group")
+        parted = parted.toDF("cluster", "group").unionAll(equal.select(F.col("group").alias("cluster"), "group"))
+        parted = parted.join(inside, "group").select("cluster", "id", "print", "weight")
+        members = work.save(members.join(wide, "cluster", "left_anti").unionAll(parted), "members")
+        rest = _unsettled(members, found, work)
     if not rest.where(F.col("size") > UNIT).isEmpty():
         # each text in its largest cluster first, which settles most of large groups before their other clusters are read
         largest = rest.groupBy("id").agg(F.max(F.struct("size", "cluster")).alias("m")).select("id", F.col("m.cluster").alias("cluster"))
@@ -433,22 +456,27 @@ def near_duplicate_classes(docs: DataFrame, *, sketches: int = SKETCHES, radius:
 
 
 def _unsettled(members: DataFrame, components: DataFrame, work: Workspace) -> DataFrame:
-    """``(cluster, id, print, label, size)`` of the clusters of three or more texts that are not all in one component."""
-    known = members.join(components.toDF("id", "component"), "id", "left").select("cluster", "id", "print", F.coalesce("component", "id").alias("label"))
+    """``(cluster, id, print, weight, label, size)`` of the clusters of three or more texts that are not all in one component."""
+    known = members.join(components.toDF("id", "component"), "id", "left").select("cluster", "id", "print", "weight", F.coalesce("component", "id").alias("label"))
     known = work.save(known, "labels")
     size = known.groupBy("cluster").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
     return work.save(known.join(work.save(size.where("size > 2 AND low != high").select("cluster", "size"), "open"), "cluster"), "rest")
 
 
+def _open_texts(rest: DataFrame) -> DataFrame:
+    """``(cluster, main, n, open)``: a cluster's heaviest label, the weight of its texts and of those with another label."""
+    labels = rest.groupBy("cluster", "label").agg(F.sum("weight").alias("weight"))
+    top = labels.groupBy("cluster").agg(F.max(F.struct("weight", "label")).alias("m"), F.sum("weight").alias("n"))
+    return top.select("cluster", F.col("m.label").alias("main"), "n", (F.col("n") - F.col("m.weight")).alias("open"))
+
+
 def _compared(rest: DataFrame, sets: DataFrame, work: Workspace, radius: int, similarity: float) -> DataFrame:
     """Links ``(a, b)`` that join all similar texts within the radius in a cluster that have different labels.
 
-    A cluster's texts outside its most frequent label are compared with all of the cluster,
+    A cluster's texts outside its heaviest label are compared with all of the cluster,
     in units of about ``UNIT`` by ``UNIT`` texts, so no task grows with a cluster.
     """
-    count = rest.groupBy("cluster", "label").count()
-    plan = count.groupBy("cluster").agg(F.max(F.struct("count", "label")).alias("m"), F.sum("count").alias("n"))
-    plan = work.save(plan.select("cluster", F.col("m.label").alias("main"), F.ceil(F.col("n") / UNIT).alias("across"), F.ceil((F.col("n") - F.col("m.count")) / UNIT).alias("down")).where("down > 0"), "plan")
+    plan = work.save(_open_texts(rest).where("open > 0").select("cluster", "main", F.ceil(F.col("n") / UNIT).alias("across"), F.ceil(F.col("open") / UNIT).alias("down")), "plan")
     rows = rest.join(plan, "cluster")
     row = F.pmod(F.xxhash64("id", F.lit(1)), "down")
     column = F.pmod(F.xxhash64("id"), "across")

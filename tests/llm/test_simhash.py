@@ -183,6 +183,30 @@ def test_all_candidates_are_compared(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == plain_kept(texts)
 
 
+def test_a_text_is_in_one_cluster_a_sketch(spark, monkeypatch):
+    """However many buckets its near copies share, so rows to compare grow with the texts."""
+    texts, compared, most = star_texts(200, 8, 7), simhash._compared, []
+
+    def counted(rest, *args):
+        most.append(rest.groupBy("id").count().agg({"count": "max"}).first()[0])
+        return compared(rest, *args)
+
+    monkeypatch.setattr(simhash, "_compared", counted)
+    docs = spark.createDataFrame(rows(enumerate(texts)), SCHEMA)
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == plain_kept(texts)
+    assert most and max(most) <= simhash.SKETCHES
+
+
+def test_small_units_and_wide_clusters(spark, monkeypatch):
+    """Clusters of many units, and those that are read by their buckets, lose no link."""
+    texts = star_texts(100, 8, 7) + star_texts(60, 9, 8)
+    docs = spark.createDataFrame(rows(enumerate(texts)), SCHEMA)
+    monkeypatch.setattr(simhash, "UNIT", 8)
+    for wide in (simhash.WIDE, 10):
+        monkeypatch.setattr(simhash, "WIDE", wide)
+        assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == plain_kept(texts)
+
+
 def test_more_equal_prints_than_the_limit(spark):
     """A group of distinct texts with one fingerprint, which no mask parts, ends and is compared."""
     words = [f"longer{i}" for i in range(40)]
