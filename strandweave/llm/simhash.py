@@ -47,7 +47,7 @@ RUN_LIMIT = 4096
 #: is about 4.4 bits apart in one of them, so all six miss about one pair in a hundred.
 SKETCHES, RADIUS = 6, 4
 #: Texts a side that a task compares at a time; one of many shingles counts once for each ``WEIGHT`` of them.
-UNIT, WEIGHT = 1024, 1024
+UNIT, WEIGHT = 512, 1024
 #: A cluster with more texts to compare with all others is read by its buckets, of which a text has
 #: ``2 ** (radius + 1) - 1`` a sketch: from there on the cluster's own units would have more rows.
 WIDE = UNIT << RADIUS + 1
@@ -178,8 +178,7 @@ def _entries(nodes: DataFrame, masks: list[int]) -> DataFrame:
         for b in batches:
             prints, sketch = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(1).to_numpy(zero_copy_only=False)
             for t, mask in enumerate(table):
-                salt = mix((sketch.astype(np.int64) * len(table) + t + 1).astype(np.uint64))
-                keys = mix((prints & mask) ^ salt)
+                keys = table_keys(prints, sketch, t, mask, len(table))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *b.columns], names=["key", "print", "sketch"])
 
     return nodes.select("print", F.col("sketch").cast("tinyint")).mapInArrow(tidied(run), "key bigint, print bigint, sketch tinyint")
@@ -204,13 +203,19 @@ def forest(prints: np.ndarray, ids: np.ndarray, radius: int) -> tuple[list, list
     return a, b
 
 
-def neighbours_in_order(prints: np.ndarray, ids: np.ndarray, radius: int) -> tuple[list, list]:
-    """Pairs for a first check: each member with the first and the previous one within the radius."""
-    order = np.argsort(mix(ids.view(np.uint64)), kind="stable")
-    prints, ids = prints[order], ids[order]
-    a, b = forest(prints, ids, radius)
-    near = np.bitwise_count(prints[1:] ^ prints[:-1]) <= radius
-    return a + ids[:-1][near].tolist(), b + ids[1:][near].tolist()
+def table_keys(prints: np.ndarray, sketch: np.ndarray, table, mask, tables: int) -> np.ndarray:
+    """Keys of fingerprints in the tables of these numbers and masks, of ``tables`` in all."""
+    return mix((prints & mask) ^ mix((sketch.astype(np.int64) * tables + table + 1).astype(np.uint64)))
+
+
+def in_first_table(keys: np.ndarray, p: np.ndarray, q: np.ndarray, sketch: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Whether buckets of these keys are those of the first table that hides the difference of ``p`` and ``q``.
+
+    The other buckets' links may go: the first one's connect both ends, in one step or by
+    way of pairs that have an earlier table still.
+    """
+    first = ((p ^ q) & masks[:, None] == 0).argmax(axis=0)
+    return table_keys(p, sketch, first, masks[first], len(masks)) == keys
 
 
 def connected_members(prints: np.ndarray, ids: np.ndarray, radius: int) -> list[list[int]]:
@@ -223,8 +228,11 @@ def connected_members(prints: np.ndarray, ids: np.ndarray, radius: int) -> list[
     return list(clusters.values())
 
 
-def _run_linker(radius: int, run_limit: int, give: str):
-    """Reads rows sorted by key; gives the rows of runs that are too long and, as ``give`` says, links as a ``forest`` or in ``order``, or ``clusters`` under a hash of their members."""
+def _run_linker(radius: int, run_limit: int, clusters: bool, masks: list[int] | None = None):
+    """Reads rows sorted by key; gives the rows of runs that are too long and links, or ``clusters`` under a hash of their members.
+
+    With the tables' ``masks``, links go that another table gives in steps.
+    """
 
     #: With fewer bits that differ a mask can be empty and part nothing; they have at most ``1 << fewest - 1`` values.
     fewest = 1 << radius
@@ -273,7 +281,10 @@ def _run_linker(radius: int, run_limit: int, give: str):
         two = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= radius]
         a, b = ids[two].tolist(), ids[two + 1].tolist()
         names, members = [], []
-        if give == "clusters":
+        if masks:
+            two = two[in_first_table(keys[two].view(np.uint64), prints[two], prints[two + 1], cols[2][two], np.array(masks, np.uint64))]
+            a, b = ids[two].tolist(), ids[two + 1].tolist()
+        if clusters:
             names, members = (mix(ids[two].view(np.uint64)) + mix(ids[two + 1].view(np.uint64))).view(np.int64).tolist() * 2, a + b
             a, b = [], []
         for at, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
@@ -282,12 +293,19 @@ def _run_linker(radius: int, run_limit: int, give: str):
                 yield out(cols[1][at : at + size], cols[2][at : at + size], keys[at : at + size])
                 continue
             own = ids[at : at + size]
-            if give == "clusters":
+            if clusters:
                 for c in connected_members(run, own, radius):
                     names += [int(mix(np.array(c, np.int64).view(np.uint64)).sum(dtype=np.uint64).view(np.int64))] * len(c)
                     members += c
                 continue
-            x, y = (neighbours_in_order if give == "order" else forest)(run, own, radius)
+            if masks:
+                # from the middle one: short links, the same in many buckets
+                order = np.lexsort((mix(own.view(np.uint64)), np.bitwise_count(run ^ np.uint64(majority([run])))))
+                x, y = (order[np.array(e, np.int64)] for e in forest(run[order], np.arange(size), radius))
+                kept = in_first_table(np.full(len(x), keys[at]).view(np.uint64), run[x], run[y], cols[2][at : at + size][x], np.array(masks, np.uint64))
+                x, y = own[x[kept]].tolist(), own[y[kept]].tolist()
+            else:
+                x, y = forest(run, own, radius)
             a += x
             b += y
         if a:
@@ -305,13 +323,17 @@ def near_links(nodes: DataFrame, radius: int, work: Workspace, *, run_limit: int
     of one sketch are compared.  ``node_ids`` names them in the links.  ``masks`` are those of
     the tables, one of which must hide any ``radius`` bits; covering masks by default.
     """
-    return _buckets(nodes, radius, work, "forest", run_limit, masks)
+    return _buckets(nodes, radius, work, run_limit, masks)
 
 
-def _buckets(nodes: DataFrame, radius: int, work: Workspace, give: str, run_limit: int, masks: list[int] | None = None) -> DataFrame:
-    """Links ``(a, b)``, or ``clusters (cluster, id)`` of which one holds both ends of each pair within the radius."""
-    entries = _entries(nodes, masks or covering_masks(radius))
-    found, linker = [], _run_linker(radius, run_limit, give)
+def _buckets(nodes: DataFrame, radius: int, work: Workspace, run_limit: int, masks: list[int] | None = None, *, clusters: bool = False, sparse: bool = False) -> DataFrame:
+    """Links ``(a, b)``, or ``clusters (cluster, id)`` of which one holds both ends of each pair within the radius.
+
+    ``sparse`` links connect the same nodes, mostly without those that several tables' buckets repeat in other ways.
+    """
+    masks = masks or covering_masks(radius)
+    entries = _entries(nodes, masks)
+    found, linker = [], _run_linker(radius, run_limit, clusters, masks if sparse else None)
     while True:
         dealt = entries.repartition(F.col("key")).sortWithinPartitions("key")
         step = work.save(dealt.mapInArrow(tidied(linker), "a bigint, b bigint, over bigint, cluster bigint"), "links")
@@ -319,11 +341,12 @@ def _buckets(nodes: DataFrame, radius: int, work: Workspace, give: str, run_limi
         over = step.where("over IS NOT NULL")
         if over.isEmpty():
             break
+        linker = _run_linker(radius, run_limit, clusters)
         entries = _covered_again(over.select(F.col("over").alias("key"), F.col("a").alias("print"), F.col("b").cast("tinyint").alias("sketch")), radius, work, run_limit)
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionAll(more)
-    if give == "clusters":
+    if clusters:
         return rows.select("cluster", F.col("b").alias("id")).distinct()
     return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -400,7 +423,7 @@ def near_duplicate_classes(docs: DataFrame, *, sketches: int = SKETCHES, radius:
     cells = nodes.select("id", F.posexplode(F.array(*[f"p{k}" for k in range(sketches)])).alias("sketch", "print"))
     cells = cells.withColumn("group", _node_id(F.col("print"), F.col("sketch"), sketches))
     groups = work.save(cells.groupBy("group", "sketch", "print").agg(F.min("id").alias("first"), F.count("*").alias("n")), "groups")
-    near = work.save(_buckets(groups.select("print", "sketch"), radius, work, "order", run_limit), "near")
+    near = work.save(_buckets(groups.select("print", "sketch"), radius, work, run_limit, sparse=True), "near")
     first = groups.select("group", "first")
     across = near.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b")
     # equal fingerprints: each text with the first one, and all of them as a cluster
@@ -438,7 +461,7 @@ def near_duplicate_classes(docs: DataFrame, *, sketches: int = SKETCHES, radius:
     rest = _unsettled(members, found, work)
     wide = work.save(_open_texts(rest).where(F.col("open") > WIDE).select("cluster"), "wide")
     if not wide.isEmpty():
-        parted = _buckets(clusters.join(wide, "cluster").select("print", "sketch"), radius, work, "clusters", run_limit)
+        parted = _buckets(clusters.join(wide, "cluster").select("print", "sketch"), radius, work, run_limit, clusters=True)
         equal = clusters.join(wide, "cluster").select("group").join(groups.where("n > 2").select("group"), "group")
         parted = parted.toDF("cluster", "group").unionAll(equal.select(F.col("group").alias("cluster"), "group"))
         parted = parted.join(inside, "group").select("cluster", "id", "print", "weight")

@@ -183,6 +183,30 @@ def test_all_candidates_are_compared(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == plain_kept(texts)
 
 
+def test_sparse_links_connect_the_same(spark):
+    """Also where long buckets are covered again."""
+    rng = np.random.default_rng(13)
+    prints = {int(rng.integers(1 << 62))} | {int(x) for x in rng.integers(0, 1 << 62, 50)}
+    base = min(prints)
+    prints = sorted(prints | {base ^ sum(1 << int(b) for b in rng.choice(62, rng.integers(1, 4), replace=False)) for _ in range(150)})
+    nodes = spark.createDataFrame([(p, 0) for p in prints], "print long, sketch int")
+    for run_limit in (simhash.RUN_LIMIT, 16):
+        work, found = simhash.Workspace(spark, "test"), []
+        for sparse in (False, True):
+            links = simhash._buckets(nodes, 4, work, run_limit, sparse=sparse).collect()
+            parent = {p: p for p in prints}
+
+            def find(x, parent=parent):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for a, b in links:
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+            found.append([prints.index(find(p)) for p in prints])
+        assert found[0] == found[1] == plain_components(prints, 4)
+
+
 def test_a_text_is_in_one_cluster_a_sketch(spark, monkeypatch):
     """However many buckets its near copies share, so rows to compare grow with the texts."""
     texts, compared, most = star_texts(200, 8, 7), simhash._compared, []
