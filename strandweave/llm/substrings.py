@@ -13,7 +13,7 @@ unless runs cover all of its later places, and the words of later windows are re
 a sentence that is partly in a passage, ``EDGE`` words or more.
 
 Hashes are counted before the join, so only repeated runs are joined to their
-occurrences; both sides are plain tables, whose skewed partitions AQE splits.
+occurrences; both sides are dealt out for the join, whose skewed partitions AQE splits.
 
 Memory: texts are taken together up to 256K characters, a longer one alone; its code points
 and the hashes of its words are held.
@@ -149,9 +149,9 @@ def repeated_spans(docs: DataFrame, work: Workspace, *, sentences: int = 2, word
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.where("text IS NOT NULL").select("doc_id", _text_hash(), "text")
     spans = work.save(rows.mapInArrow(tidied(run), f"doc_id {kind}, hash bigint, from int, to int, h1 bigint, h2 bigint"), "spans")
-    later = _repeated(spans, ["h1", "h2"], "from", work, lambda df: df.where(_place("from") != F.col("o")).select("doc_id", "hash", "from", "to"))
-    cut = work.save(_by_document(later), "cut")
-    work.drop(later)
+    repeated, found = _repeated(spans, ["h1", "h2"], "from", work)
+    cut = work.save(_by_document(repeated.where(_place("from") != F.col("o"))), "cut")
+    work.drop(found)
     return cut
 
 
@@ -165,20 +165,22 @@ def _place(at: str) -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("doc_id"), F.col("hash").alias("hash"), F.col(at).alias("at"))
 
 
-def _repeated(rows: DataFrame, keys: list[str], at: str, work: Workspace, then) -> DataFrame:
-    """What ``then`` makes of the rows whose keys are in several places, with the first place as ``o``.
+def _moved(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the same whole numbers as keys, but for Spark other columns: a join deals them out anew, and AQE can split its skewed partitions."""
+    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0)) for k in keys})
+
+
+def _repeated(rows: DataFrame, keys: list[str], at: str, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """The rows whose keys are in several places, with the first place as ``o``, and the saved table that they come from.
 
     rows: ``(doc_id, hash, ...)``, a saved table, which is dropped.  Most keys are in one
     place: counting them needs the keys alone, and only what is left is put in order.
     """
-    several = work.save(rows.groupBy(*keys).count().where("count > 1").select(*keys), "several")
-    found = work.save(rows.join(several, keys), "found")
-    work.drop(rows, several)
+    several = rows.groupBy(*keys).count().where("count > 1").select(*keys)
+    found = work.save(rows.join(_moved(several, keys), keys), "found")
+    work.drop(rows)
     seen = found.groupBy(*keys).agg(F.min(_place(at)).alias("o"), F.max(_place(at)).alias("last")).where("o != last")
-    origins = work.save(seen.select(*keys, "o"), "origins")
-    out = work.save(then(found.join(origins, keys)), "repeated")
-    work.drop(found, origins)
-    return out
+    return found.join(_moved(seen.select(*keys, "o"), keys), keys), found
 
 
 def repeated_windows(docs: DataFrame, cut: DataFrame, work: Workspace, *, window: int) -> DataFrame:
@@ -225,18 +227,19 @@ def repeated_windows(docs: DataFrame, cut: DataFrame, work: Workspace, *, window
 
     apart = lambda df: df.withColumnsRenamed({"doc_id": "_id", "hash": "_hash"})
     found = work.save(rows.mapInArrow(tidied(anchored), f"doc_id {kind}, hash bigint, h bigint, low int, high int"), "anchors")
-    repeated = _repeated(found, ["h"], "low", work, lambda df: df.withColumn("later", _place("low") != F.col("o")).drop("o"))
+    repeated, found = _repeated(found, ["h"], "low", work)
+    repeated = work.save(repeated.withColumn("later", _place("low") != F.col("o")).drop("o"), "repeated")
+    work.drop(found)
     # an anchor is needed where a later place has words that no run covers
     by_doc = repeated.where("later").groupBy("doc_id", "hash").agg(*[F.collect_list(c).alias(f"{c}s") for c in ("h", "low", "high")])
     spans = apart(cut)
     needed = by_doc.join(spans, same(by_doc, spans), "left").select("hs", "lows", "highs", "starts", "stops").mapInArrow(tidied(uncovered), "h bigint")
-    needed = work.save(needed.distinct(), "needed")
-    wanted = repeated.join(needed, "h").groupBy("doc_id", "hash").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
-    wanted = apart(work.save(wanted, "wanted"))
+    wanted = repeated.join(_moved(needed.distinct(), ["h"]), "h").groupBy("doc_id", "hash").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
+    wanted = apart(wanted)
     # rows that repeat are one document: their windows are at the same places
     texts = rows.join(wanted, same(rows, wanted)).select("doc_id", "hash", "text", "lows", "highs")
     windows = work.save(texts.mapInArrow(tidied(hashed), f"doc_id {kind}, hash bigint, at int, h1 bigint, h2 bigint"), "windows")
-    work.drop(repeated, needed)
+    work.drop(repeated)
     # in the origin's own document the origin's words stay
     own = (F.col("o.none") == F.col("doc_id").isNull()) & (F.col("o.doc_id") == F.coalesce(F.col("doc_id"), F.lit(0))) & (F.col("o.hash") == F.col("hash"))
     start = F.when(own, F.greatest("at", F.col("o.at") + window)).otherwise(F.col("at"))
@@ -245,9 +248,9 @@ def repeated_windows(docs: DataFrame, cut: DataFrame, work: Workspace, *, window
         later = df.where(_place("at") != F.col("o")).select("doc_id", "hash", start.alias("from"), (F.col("at") + window).alias("to"))
         return later.where(F.col("from") < F.col("to"))
 
-    later = _repeated(windows, ["h1", "h2"], "at", work, words)
-    words_ = work.save(_by_document(later), "words")
-    work.drop(later)
+    repeated, found = _repeated(windows, ["h1", "h2"], "at", work)
+    words_ = work.save(_by_document(words(repeated)), "words")
+    work.drop(found)
     return words_
 
 
@@ -297,7 +300,7 @@ def remove_repeats(docs: DataFrame, *, sentences: int = 2, words: int = 16, long
     none = F.lit(None).cast("array<int>")
     both = runs_.select("*", none.alias("starts_1"), none.alias("stops_1")).unionByName(words_.select("*", none.alias("starts_0"), none.alias("stops_0")))
     parts = ["starts_0", "stops_0", "starts_1", "stops_1"]
-    cut = work.save(both.groupBy("doc_id", "hash").agg(*[F.first(c, ignorenulls=True).alias(c) for c in parts]), "all")
+    cut = both.groupBy("doc_id", "hash").agg(*[F.first(c, ignorenulls=True).alias(c) for c in parts])
     kept = ["doc_id", "text"] if details else docs.columns
     rows = docs.select(*map(named, kept))
     types = [f.dataType for f in rows.schema.fields]

@@ -111,6 +111,24 @@ def test_rows_that_repeat_are_one_document(spark):
     assert substrings.remove_repeats(docs_of(spark, [])).count() == 0
 
 
+def test_tables_read_once_are_not_saved(spark, monkeypatch):
+    """Each file of a scratch table costs its executor processes; there were 20 tables."""
+    saved, save = [], substrings.Workspace.save
+    monkeypatch.setattr(substrings.Workspace, "save", lambda self, df, name="t": saved.append(name) or save(self, df, name))
+    found = substrings.remove_repeats(docs_of(spark, [f"Own words {i}. {PASSAGE}" for i in range(3)])).collect()
+    assert [PASSAGE in r["text"] for r in sorted(found, key=lambda r: r["doc_id"])] == [True, False, False]
+    assert saved == ["spans", "found", "cut", "anchors", "found", "repeated", "windows", "found", "words"]
+
+
+def test_moved_keys_are_dealt_out_anew(spark):
+    """Without a table between them a join's two sides still have an exchange each, whose skewed partitions can be split."""
+    rows = spark.range(-50, 50).selectExpr("id % 7 AS h", "id")
+    several = rows.groupBy("h").count().where("count > 14")
+    found = rows.join(substrings._moved(several, ["h"]).hint("merge"), "h")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+    assert sorted(r["id"] for r in found.collect()) == sorted(r["id"] for r in rows.join(several, "h").collect())
+
+
 def test_long_passages_inside_sentences_go(spark):
     """Passages of 50 words or more go wherever they begin and end; shorter ones without whole sentences stay."""
     rng = random.Random(12)
